@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.fingerprint import fingerprints
 
@@ -21,6 +27,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
@@ -33,5 +46,10 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op7_fingerprint": op7_fingerprint, "op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
+}
 SQL = {"op9_line_dedup": OP9_SQL}
