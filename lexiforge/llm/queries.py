@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import crc_mod, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held))
+    out = score(docs.withColumn("held_out", held), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.language import learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = learn(docs.filter(~held))
+    out = predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.fingerprint import fingerprints
 
@@ -48,6 +68,8 @@ FROM m GROUP BY doc_id
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_quality": op3_quality,
+    "op5_language": op5_language,
     "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
