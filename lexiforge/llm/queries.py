@@ -34,6 +34,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexiforge.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.fingerprint import fingerprints
 
@@ -70,6 +78,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op5_language": op5_language,
+    "op6_packing": op6_packing,
     "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import partitions, salt_of, spool
 
+#: Salted pieces of a group at least; with more shuffle partitions as many as those.
 SALTS = 32
 
 
@@ -119,7 +120,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, parcels: int = 256) -> DataFra
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            salt_of(F.coalesce("doc_id", F.lit(0)), SALTS).alias("salt"),
+            salt_of(F.coalesce("doc_id", F.lit(0)), max(SALTS, partitions(spark))).alias("salt"),
         )
     )
     # a hot group is counted in salted pieces, so no task gathers its rows
