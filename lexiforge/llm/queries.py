@@ -14,6 +14,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.quality import learn, score
 
@@ -76,6 +83,7 @@ FROM m GROUP BY doc_id
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
