@@ -36,40 +36,53 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
     """The frozen trees of the languages; least: the count from which a context is kept."""
     names = sorted(set(langs))
     which = {x: i for i, x in enumerate(names)}
-    parts, owner = [], []
-    for lang, text in zip(langs, texts, strict=True):
-        b = np.frombuffer(b"\n\n\n" + text.encode("utf-8", "replace"), np.uint8)
-        parts.append(b)
-        owner.append(np.full(len(b), which[lang], np.int64))
-    data, owner = np.concatenate(parts), np.concatenate(owner)
-    inner = np.concatenate([np.arange(len(p)) >= 3 for p in parts])
+    parts = [np.frombuffer(b"\n\n\n" + text.encode("utf-8", "replace"), np.uint8) for text in texts]
+    owner = np.repeat(np.array([which[x] for x in langs], np.int32), [len(p) for p in parts])
+    inner = np.ones(len(owner), bool)
+    heads = np.cumsum([0, *(len(p) for p in parts)])[:-1]
+    inner[(heads[:, None] + np.arange(3)).ravel()] = False
+    data = np.concatenate(parts)
+    del parts
     often = np.argsort(-np.bincount(data, minlength=256), kind="stable")[: symbols - 1]
-    sym = np.full(256, symbols - 1, np.int64)
-    sym[often] = np.arange(len(often))
+    sym = np.full(256, symbols - 1, np.int32)
+    sym[often] = np.arange(len(often), dtype=np.int32)
     s, n_lang = sym[data], len(names)
-    at = np.flatnonzero(inner)
-    contexts = [np.zeros(len(at), np.int64), s[at - 1], s[at - 2] * symbols + s[at - 1], (s[at - 3] * symbols + s[at - 2]) * symbols + s[at - 1]]
+
+    def slices(order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Contexts of so many bytes, and symbol and language in one number; a slice at a time, for the driver's memory."""
+        for low in range(3, len(s), 1 << 20):
+            at = np.arange(low, min(len(s), low + (1 << 20)))
+            at = at[inner[at]]
+            ctx = np.zeros(len(at), np.int64)
+            for back in range(order, 0, -1):
+                ctx = ctx * symbols + s[at - back]
+            yield ctx, s[at].astype(np.int64) * n_lang + owner[at]
+
     index, blocks, base = [], [], 0
-    for order, ctx in enumerate(contexts):
-        names_of, back, many = np.unique(ctx, return_inverse=True, return_counts=True)
-        keep = np.ones(len(names_of), bool) if order == 0 else many >= least
-        if order and keep.sum() > rows - base:
-            cut = np.sort(many)[::-1][max(0, rows - base - 1)] if rows > base else np.inf
-            keep &= many > cut
-        place = np.full(len(names_of), -1, np.int64)
-        place[keep] = np.arange(keep.sum())
-        at_row = place[back]
-        on = at_row >= 0
-        counts = np.bincount((at_row[on] * symbols + s[at][on]) * n_lang + owner[at][on], minlength=int(keep.sum()) * symbols * n_lang)
-        counts = counts.reshape(-1, symbols, n_lang).astype(np.float64)
+    for order in range(4):
+        many = np.zeros(symbols**order, np.int64)
+        for ctx, _ in slices(order):
+            many += np.bincount(ctx, minlength=len(many))
+        kept = np.flatnonzero(many >= (least if order else 0))
+        if order and len(kept) > rows - base:
+            kept = np.sort(kept[np.argsort(-many[kept], kind="stable")[: max(0, rows - base)]])
+        place = np.full(len(many), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        counts = np.zeros(len(kept) * symbols * n_lang, np.float32)
+        for ctx, what in slices(order):
+            row = place[ctx]
+            on = row >= 0
+            cell, more = np.unique(row[on] * (symbols * n_lang) + what[on], return_counts=True)
+            counts[cell] += more
+        counts = counts.reshape(-1, symbols, n_lang)
         if order == 0:
-            shorter = np.full((1, symbols, n_lang), 1 / symbols)
+            shorter = np.full((1, symbols, n_lang), 1 / symbols, np.float32)
             full = np.zeros(1, np.int64)
         else:
-            suffix = names_of[keep] % (symbols ** (order - 1))
+            suffix = kept % (symbols ** (order - 1))
             shorter = np.concatenate(blocks)[index[-1][suffix]]
             full = index[-1][np.arange(symbols**order) % (symbols ** (order - 1))].copy()
-            full[names_of[keep]] = base + np.arange(keep.sum())
+            full[kept] = base + np.arange(len(kept))
         total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
         unseen = np.where(counts > 0, 0, shorter)
         rest = unseen.sum(1, keepdims=True)
@@ -78,7 +91,7 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
             p = np.where(counts > 0, counts / total * (1 - escape), escape * unseen / rest)
         blocks.append(np.where(total > 0, p, shorter))
         index.append(full)
-        base += int(keep.sum())
+        base += len(kept)
     cost = -np.log2(np.maximum(np.concatenate(blocks), 1e-12)).reshape(-1, n_lang).astype(np.float32)
     return {"names": names, "sym": sym.astype(np.int32), "index": index[3].astype(np.int32), "cost": cost, "symbols": symbols}
 
