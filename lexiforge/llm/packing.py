@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,10 +180,14 @@ class Encoder:
     encoded together, and cut apart where a token ends a word. most: words kept before the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the model alone, for words that are already lower case and cut out
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -195,7 +200,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # never seen; each word by itself then
                 self.known.update((w, self._slow(w)) for w in part)
@@ -207,15 +212,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [None if _ODD.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
+        seen = set().union(*(ws for ws in words if ws))
+        new = seen.difference(self.known)
         if len(new) + len(self.known) > self.most:
             self.known.clear()
-            new = list({w for ws in words if ws for w in ws})
-        self._learn(new)
+            new = seen
+        self._learn(list(new))
         get = self.known.__getitem__
         return [self._slow(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks which follow each other share the words they know."""
+    return Encoder(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -223,7 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """One row for each piece: a document's ids, then the end id, cut only where longer than the capacity. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         for x in batches:
             for low in range(0, len(x), 500):
                 part = x.slice(low, 500)
