@@ -30,7 +30,7 @@ from lexiforge.llm.common import partitions, spool
 
 LENGTH, GRAM, CHUNK = 400, 64, 1 << 19
 _TABLE = np.random.default_rng(20240).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-RECORD = "doc_id long, h long, anchor long, span long, start long, m int"
+RECORD = "doc_id long, h long, anchor long, span long, start long, m int, off int"
 
 
 # ---- anchors ----------------------------------------------------------------------------------------------------
@@ -57,7 +57,7 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Spans of the texts in buf: text (index), start (byte in it), m (windows), anchor and span (hashes)."""
+    """Spans of the texts in buf: text (index), start (byte in it), m (windows), off (the anchor's place), anchor and span (hashes)."""
     import xxhash
 
     n = len(offsets) - 1
@@ -65,7 +65,7 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
         a, b = int(offsets[i]), int(offsets[i + 1])
         pieces += [(i, at, min(b, at + CHUNK + length - 1)) for at in range(a, b - length + 1, CHUNK)]
-    out: dict[str, list] = {k: [] for k in ("text", "start", "m", "anchor", "span")}
+    out: dict[str, list] = {k: [] for k in ("text", "start", "m", "off", "anchor", "span")}
     at = 0
     while at < len(pieces):
         group, size = [], 0
@@ -93,10 +93,11 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         out["span"].append(np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), (stops + length - 1).tolist(), strict=True)), np.uint64, len(starts)))
         out["anchor"].append(g[least[starts].astype(np.int64)])
         out["m"].append((stops - starts).astype(np.int32))
+        out["off"].append((least[starts].astype(np.int64) - starts).astype(np.int32))
         text = np.array([i for i, _, _ in group], np.int64)[owner]
         out["text"].append(text)
         out["start"].append(np.array([a for _, a, _ in group], np.int64)[owner] - offsets[text] + starts - begins[owner])
-    kinds = {"text": np.int64, "start": np.int64, "m": np.int32, "anchor": np.uint64, "span": np.uint64}
+    kinds = {"text": np.int64, "start": np.int64, "m": np.int32, "off": np.int32, "anchor": np.uint64, "span": np.uint64}
     return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()} if n else {k: np.zeros(0, t) for k, t in kinds.items()}
 
 
@@ -105,8 +106,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spans(*raw(x.column("text")))
         ids, h = x.column("doc_id"), x.column("h")
         at = pa.array(s["text"])
-        cols = [ids.take(at), h.take(at), pa.array(s["anchor"].view(np.int64)), pa.array(s["span"].view(np.int64)), pa.array(s["start"]), pa.array(s["m"])]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "anchor", "span", "start", "m"])
+        cols = [ids.take(at), h.take(at), pa.array(s["anchor"].view(np.int64)), pa.array(s["span"].view(np.int64)), pa.array(s["start"]), pa.array(s["m"]), pa.array(s["off"])]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "anchor", "span", "start", "m", "off"])
 
 
 # ---- suffix arrays ----------------------------------------------------------------------------------------------
@@ -195,11 +196,18 @@ def equal_windows(texts: list[bytes], windows: list[int], length: int = LENGTH)
 
 # ---- shards -----------------------------------------------------------------------------------------------------
 
-FOUND = "anchor long, span long, rel int, size int, d1 long, d2 long, open boolean"
+#: Windows of a hot anchor are reported in blocks of so many neighbours, by their place against the anchor.
+BLOCK = 8
+FOUND = "anchor long, span long, rel int, size int, d1 long, d2 long, windows binary"
+_WINDOW = np.dtype([("rel", "<i4"), ("open", "u1"), ("digest", "<i8")])
 
 
-def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard. Yields covered byte runs (size > 0) of spans, and of hot anchors each distinct window."""
+def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by shard. Yields covered byte runs (size > 0) of spans, and of hot anchors blocks of their distinct windows.
+
+    All windows of a block hold the same core, the bytes from the last one's start to the first one's end. Blocks whose
+    core no other span has need no look at their windows.
+    """
     import xxhash
 
     def done(x: pd.DataFrame) -> pd.DataFrame:
@@ -217,14 +225,25 @@ def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1
         heads, tails = heads[on], tails[on]
         size = tails - heads + length - 1
         anchor, span, hot = (x[c].to_numpy() for c in ("anchor", "span", "hot"))
-        runs = pd.DataFrame({"anchor": anchor[text[heads]], "span": span[text[heads]], "rel": rel[heads], "size": size, "d1": 0, "d2": 0, "open": False})
+        runs = pd.DataFrame({"anchor": anchor[text[heads]], "span": span[text[heads]], "rel": rel[heads], "size": size, "d1": 0, "d2": 0, "windows": None})
         if not hot.any():
             return runs
         _, one = np.unique(kind, return_index=True)
-        one = one[hot[text[one]]]
-        digests = [xxhash.xxh3_128_intdigest(texts[t][r : r + length]) for t, r in zip(text[one].tolist(), rel[one].tolist(), strict=True)]
-        halves = np.array([(d >> 64, d & ((1 << 64) - 1)) for d in digests], np.uint64).reshape(-1, 2).view(np.int64)
-        extra = pd.DataFrame({"anchor": anchor[text[one]], "span": span[text[one]], "rel": rel[one], "size": 0, "d1": halves[:, 0], "d2": halves[:, 1], "open": ~twice[one]})
+        one = np.sort(one[hot[text[one]]])
+        windows = np.zeros(len(one), _WINDOW)
+        windows["rel"], windows["open"] = rel[one], ~twice[one]
+        digest = xxhash.xxh3_64_intdigest
+        windows["digest"] = np.fromiter((digest(texts[t][r : r + length]) for t, r in zip(text[one].tolist(), rel[one].tolist(), strict=True)), np.uint64, len(one)).view(np.int64)
+        place = x["off"].to_numpy()
+        block = (place[text[one]] - rel[one]) // BLOCK
+        starts = np.flatnonzero(np.r_[True, (text[one][1:] != text[one][:-1]) | (block[1:] != block[:-1])])
+        cores = []
+        for t, k in zip(text[one[starts]].tolist(), block[starts].tolist(), strict=True):
+            at = int(place[t]) - BLOCK * k  # the last window of the block starts here
+            cores.append(xxhash.xxh3_128_intdigest(texts[t][at : at + length - BLOCK + 1]))
+        halves = np.array([(d >> 64, d & ((1 << 64) - 1)) for d in cores], np.uint64).reshape(-1, 2).view(np.int64)
+        packed = [windows[a:b].tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(one)], strict=True)]
+        extra = pd.DataFrame({"anchor": anchor[text[one[starts]]], "span": span[text[one[starts]]], "rel": 0, "size": 0, "d1": halves[:, 0], "d2": halves[:, 1], "windows": packed})
         return pd.concat([runs, extra], ignore_index=True)
 
     kept: list[pd.DataFrame] = []
@@ -245,14 +264,23 @@ def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1
         yield done(pd.concat(kept, ignore_index=True))
 
 
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each window of the blocks."""
+    for x in batches:
+        if len(x):
+            windows = np.frombuffer(b"".join(x["windows"]), _WINDOW)
+            at = np.repeat(np.arange(len(x)), x["windows"].str.len() // _WINDOW.itemsize)
+            yield pd.DataFrame({**{c: x[c].to_numpy()[at] for c in ("anchor", "span", "d1", "d2")}, "rel": windows["rel"], "open": windows["open"] > 0, "digest": windows["digest"]})
+
+
 def _merge_shards(batches: Iterator[pd.DataFrame], length: int = LENGTH) -> Iterator[pd.DataFrame]:
     """Windows that another shard holds as well; equal digests are in one partition. Found by binary search."""
     rows = [x for x in batches if len(x)]
     if not rows:
         return
     x = pd.concat(rows, ignore_index=True)
-    digest = np.empty(len(x), [("a", np.int64), ("b", np.int64)])
-    digest["a"], digest["b"] = x["d1"], x["d2"]
+    digest = np.empty(len(x), [("a", np.int64), ("b", np.int64), ("c", np.int64)])
+    digest["a"], digest["b"], digest["c"] = x["d1"], x["d2"], x["digest"]
     _, code = np.unique(digest, return_inverse=True)
     merged = np.sort(code)
     many = np.searchsorted(merged, code, "right") - np.searchsorted(merged, code, "left")
@@ -305,20 +333,23 @@ def remove_repeats(docs: DataFrame, most: int = 256) -> DataFrame:
     keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     records = spool(keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text").mapInArrow(_records, RECORD))
     # partial sums come first, so a span that a third of all documents hold is one row of each task here
-    counted = spool(records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "m")).alias("at")))
+    counted = spool(records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "m", "off")).alias("at")))
     several = counted.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
     wanted = counted.join(several, "anchor").select("anchor", "span", "k", "at.*")
     sub = F.pmod(F.col("span"), F.ceil(F.col("k") / most))
-    wanted = wanted.select("doc_id", "h", "start", "m", "anchor", "span", (F.col("k") > most).alias("hot"), F.xxhash64("anchor", sub).alias("shard"))
+    wanted = wanted.select("doc_id", "h", "start", "m", "off", "anchor", "span", (F.col("k") > most).alias("hot"), F.xxhash64("anchor", sub).alias("shard"))
     # null ids are equal here
     texts = keyed.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "text")
     fetched = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")))
     cut = F.expr(f"substring(cast(text AS binary), cast(start AS int) + 1, m + {LENGTH - 1})")
-    fetched = fetched.select("shard", "anchor", "span", "m", "hot", cut.alias("bytes"))
+    fetched = fetched.select("shard", "anchor", "span", "m", "off", "hot", cut.alias("bytes"))
     dealt = fetched.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
     found = spool(dealt.mapInPandas(_shards, FOUND))
     runs = found.filter("size > 0").select("anchor", "span", "rel", "size")
-    across = found.filter("size = 0").select("anchor", "span", "rel", "d1", "d2", "open").repartition(partitions(spark), "d1")
+    blocks = found.filter("size = 0").select("anchor", "span", "d1", "d2", "windows")
+    shared = blocks.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
+    across = blocks.join(shared, ["d1", "d2"]).mapInPandas(_unpack, "anchor long, span long, d1 long, d2 long, rel int, open boolean, digest long")
+    across = across.repartition(partitions(spark), "d1", "digest")
     runs = runs.unionByName(across.mapInPandas(_merge_shards, "anchor long, span long, rel int, size int"))
     listed = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("rel", "size")).alias("runs"))  # at most as many as a span has windows
     whole = F.array(F.struct(F.lit(0).alias("rel"), (F.col("at.m") + LENGTH - 1).alias("size")))
@@ -326,7 +357,7 @@ def remove_repeats(docs: DataFrame, most: int = 256) -> DataFrame:
     once = counted.filter("n = 1").select("anchor", "span").join(listed, ["anchor", "span"])
     covered = records.join(twice.unionByName(once), ["anchor", "span"])
     ends = F.transform("runs", lambda r: F.struct((F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
-    by_doc = covered.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list(ends))).alias("__runs"))
+    by_doc = covered.groupBy("doc_id", "h").agg(F.flatten(F.collect_set(ends)).alias("__runs"))
     by_doc = by_doc.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "__runs")
     out = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")), "left").drop("__d", "__h")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
