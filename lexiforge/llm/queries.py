@@ -31,6 +31,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiforge.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.language import learn, predict
 
@@ -69,6 +75,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexiforge.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
@@ -85,10 +99,12 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {"op9_line_dedup": OP9_SQL}
