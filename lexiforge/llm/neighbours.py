@@ -25,44 +25,54 @@ class CollisionIndex:
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
         self.lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, lines))
         shadows = np.c_[vectors, rest] @ self.lines
-        self.order = np.argsort(shadows, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.sort(shadows, axis=0).T.copy()
+        n = len(vectors)
+        order = np.argsort(shadows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(shadows, order, 0).T.copy()
+        # each vector's place in each sorted array: a window is a range of places
+        self.place = np.empty((lines, n), np.uint16 if n <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order.T, np.arange(n, dtype=self.place.dtype)[None, :], 1)
         self.scale = float(longest) or 1.0
 
     def candidates(self, queries: np.ndarray, enough: int, share: float, first: float = 0.15, factor: float = 1.25) -> list[np.ndarray]:
         """For each query the rows that collide on enough lines, at the least window that gives `enough` of them (or all rows)."""
-        n, lines = len(self.vectors), len(self.sorted)
+        n, lines = self.place.shape[1], len(self.sorted)
         if n <= enough:
             return [np.arange(n)] * len(queries)
         at = np.c_[queries, np.zeros(len(queries))] @ self.lines
         need = int(np.ceil(share * lines))
-        counts = np.zeros((len(queries), n), np.int16)
-        left = np.stack([np.searchsorted(s, at[:, j]) for j, s in enumerate(self.sorted)], 1)
-        right = left.copy()
-        out: list[np.ndarray | None] = [None] * len(queries)
-        open_, half = np.arange(len(queries)), first * self.scale
-        while len(open_):
-            for j, s in enumerate(self.sorted):
-                low, high = np.searchsorted(s, at[open_, j] - half, "left"), np.searchsorted(s, at[open_, j] + half, "right")
-                order = self.order[j]
-                for q, a, b, c, d in zip(open_.tolist(), low.tolist(), left[open_, j].tolist(), right[open_, j].tolist(), high.tolist(), strict=True):
-                    row = counts[q]
-                    row[order[a:b]] += 1
-                    row[order[c:d]] += 1
-                left[open_, j] = np.minimum(low, left[open_, j])
-                right[open_, j] = np.maximum(high, right[open_, j])
-            hit = counts[open_] >= need
-            done = hit.sum(1) >= enough
-            for k in np.flatnonzero(done):
-                out[open_[k]] = np.flatnonzero(hit[k])
-            open_, half = open_[~done], half * factor
+        many = np.uint8 if lines < 256 else np.uint16
+        ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def hits(q: int, step: int) -> np.ndarray:
+            if step not in ranges:  # the windows of all queries at this width
+                half = first * self.scale * factor**step
+                low = np.stack([np.searchsorted(s, at[:, j] - half, "left") for j, s in enumerate(self.sorted)], 1)
+                high = np.stack([np.searchsorted(s, at[:, j] + half, "right") for j, s in enumerate(self.sorted)], 1)
+                ranges[step] = low.astype(self.place.dtype), (high - low).astype(np.int64)
+            low, width = ranges[step]
+            # places before the window wrap around to large numbers
+            inside = (self.place - low[q][:, None]) < width[q].clip(max=np.iinfo(self.place.dtype).max)[:, None].astype(self.place.dtype)
+            return inside.sum(0, dtype=many) >= need
+
+        out, step = [], 4  # widening starts where the last query ended
+        for q in range(len(queries)):
+            hit = hits(q, step)
+            if hit.sum() >= enough:
+                while step > 0 and (less := hits(q, step - 1)).sum() >= enough:
+                    hit, step = less, step - 1
+            else:
+                while hit.sum() < enough:
+                    step += 1
+                    hit = hits(q, step)
+            out.append(np.flatnonzero(hit))
         return out
 
 
 def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, lines: int, share: float, enough: float) -> pd.DataFrame:
     """The k best verified candidates of a block for each query; ties to the smaller vec_id."""
-    ids, rows = index["vec_id"].to_numpy(), []
+    ids = index["vec_id"].to_numpy()
     block = CollisionIndex(np.stack(index["embedding"]).astype(np.float64), longest, lines)
+    owners, best_ids, scores = [], [], []
     for low in range(0, len(queries), 256):
         part = queries.iloc[low : low + 256]
         vectors = np.stack(part["embedding"]).astype(np.float64)
@@ -73,11 +83,13 @@ def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, l
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 found, score = found[score >= edge], score[score >= edge]
             best = np.lexsort((ids[found], -score))[:k]
-            rows.append(pd.DataFrame({"query_id": own, "vec_id": ids[found[best]], "score": score[best]}))
-    return pd.concat(rows, ignore_index=True)
+            owners.append(np.full(len(best), own))
+            best_ids.append(ids[found[best]])
+            scores.append(score[best])
+    return pd.DataFrame({"query_id": np.concatenate(owners), "vec_id": np.concatenate(best_ids), "score": np.concatenate(scores)})
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 160, share: float = 0.6, enough: float = 0.12) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 128, share: float = 0.6, enough: float = 0.1) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest by inner product for each row whose vec_id is divisible by `every`.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id. Of rows that
