@@ -6,14 +6,16 @@ postings, which are written sorted by term, so files that hold none of them are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import query_terms, tokens
+from lexiforge.sources.spool import spool
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -51,27 +53,26 @@ def phrase_hits(postings: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def search(index: Index, text: str) -> DataFrame:
-    """doc and score of the documents that hold all phrases of the text; smaller is better. Nothing to look for: no rows."""
+    """doc and score of the documents that hold all phrases of the text; smaller is better. Nothing to look for: no rows.
+
+    Hits of all phrases are gathered once; the driver gets two numbers of the index and one for each phrase.
+    """
     phrases = query_terms(text)
-    stats = index.documents.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
     if not phrases:
         return index.documents.select("doc", F.lit(0.0).alias("score")).filter(F.lit(False))
-    out: DataFrame | None = None
-    for i, words in enumerate(phrases):
-        hits = phrase_hits(index.postings, words).withColumnRenamed("hits", f"f{i}")
-        out = hits if out is None else out.join(hits, "doc")
-    # one row each: document counts of the phrases, and the corpus
-    for i, words in enumerate(phrases):
-        seen = phrase_hits(index.postings, words).agg(F.count("*").alias(f"n{i}"))
-        stats = stats.crossJoin(F.broadcast(seen))  # both sides are single aggregate rows
-    rows = out.join(index.documents, "doc").crossJoin(F.broadcast(stats))  # the right side is a single row
-
-    def idf(i: int) -> Column:
-        raw = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        return F.when(raw <= 0, F.lit(FLOOR)).otherwise(raw)
-
-    length = 1 - B + B * F.col("n_tokens") / F.col("mean")
-    terms = [idf(i) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * length) for i in range(len(phrases))]
+    each = [phrase_hits(index.postings, words).withColumn("phrase", F.lit(i)) for i, words in enumerate(phrases)]
+    hits = spool(reduce(DataFrame.unionByName, each))
+    seen = {r["phrase"]: r["count"] for r in hits.groupBy("phrase").count().collect()}
+    n, mean = index.documents.agg(F.count("*"), F.avg("n_tokens")).first()
+    of = [F.sum(F.when(F.col("phrase") == i, F.col("hits"))).alias(f"f{i}") for i in range(len(phrases))]
+    rows = hits.groupBy("doc").agg(F.count("*").alias("k"), *of).filter(F.col("k") == len(phrases)).join(index.documents, "doc")
+    length = 1 - B + B * F.col("n_tokens") / F.lit(float(mean or 1))
+
+    def weight(i: int) -> float:
+        raw = math.log((n - seen.get(i, 0) + 0.5) / (seen.get(i, 0) + 0.5))
+        return raw if raw > 0 else FLOOR
+
+    terms = [weight(i) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * length) for i in range(len(phrases))]
     return rows.select("doc", (-reduce(lambda a, b: a + b, terms)).alias("score"))
 
 

@@ -84,10 +84,9 @@ def import_tables(tables: dict[str, DataFrame], words: Sequence[str] | None = No
         forms = tables["InflectedForm"].select(long("lexemeId").alias("lexeme_id"), long("inflectionId").alias("inflection_id"), "form").filter("form <> '' AND inflection_id IS NOT NULL")
         out["verb_forms"] = verb_forms(forms, lexemes, entries)
     out["lookups"] = entries.select(F.lit("dexonline").alias("provider_id"), F.col("lemma").alias("headword"), F.lit("9999-12-31 23:59:59").cast("timestamp").alias("expires_at")).distinct()
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [count(entries, "entries"), count(senses, "senses"), *([count(out["verb_forms"], "inflected_forms"), count(lexemes, "lexemes")] if full else [])]
-    summary = parts[0]
-    for p in parts[1:]:
-        summary = summary.crossJoin(p)  # single aggregate rows
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    summary = count(entries, "entries").unionByName(count(senses, "senses"))
+    if full:
+        summary = summary.unionByName(count(out["verb_forms"], "inflected_forms")).unionByName(count(lexemes, "lexemes"))
     out["summary"] = summary
     return out

@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from lexiforge.plans import registry
+from lexiforge.plans import registry, sources  # noqa: F401  sources adds its queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
