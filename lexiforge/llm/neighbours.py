@@ -68,7 +68,7 @@ class CollisionIndex:
         return out
 
 
-def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, lines: int, share: float, enough: float) -> pd.DataFrame:
+def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, lines: int, share: float, enough: float, least: int) -> pd.DataFrame:
     """The k best verified candidates of a block for each query; ties to the smaller vec_id."""
     ids = index["vec_id"].to_numpy()
     block = CollisionIndex(np.stack(index["embedding"]).astype(np.float64), longest, lines)
@@ -76,7 +76,7 @@ def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, l
     for low in range(0, len(queries), 256):
         part = queries.iloc[low : low + 256]
         vectors = np.stack(part["embedding"]).astype(np.float64)
-        for own, v, found in zip(part["vec_id"], vectors, block.candidates(vectors, k + 1 + int(enough * len(ids)), share), strict=True):
+        for own, v, found in zip(part["vec_id"], vectors, block.candidates(vectors, k + 1 + max(least, int(enough * len(ids))), share), strict=True):
             found = found[ids[found] != own]
             score = (block.vectors[found] * v).sum(1)
             if len(found) > k:
@@ -89,13 +89,14 @@ def search(index: pd.DataFrame, queries: pd.DataFrame, longest: float, k: int, l
     return pd.DataFrame({"query_id": np.concatenate(owners), "vec_id": np.concatenate(best_ids), "score": np.concatenate(scores)})
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 128, share: float = 0.6, enough: float = 0.1) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 255, share: float = 0.6, enough: float = 0.1, least: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest by inner product for each row whose vec_id is divisible by `every`.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id. Of rows that
     repeat an id the least vector counts. Only vectors of one length are compared. An empty table gives no rows. A
-    query with fewer than k others gets them all. Blocks hold 65,536 vectors at most on average; block and query chunk
-    meet in one task each, so memory is bounded. enough: the part of a block that is verified for a query, at least.
+    query with fewer than k others gets them all. Blocks hold 32,768 vectors at most on average; block and query chunk
+    meet in one task each, so memory is bounded. enough: the part of a block that is verified for a query, at least;
+    least: how many of its vectors, at least. Up to 255 lines a count of collisions is one byte.
     """
     spark = vectors.sparkSession
     good = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -103,7 +104,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 128,
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     n, n_queries, longest = rows.agg(F.count("*"), F.sum((F.col("vec_id") % every == 0).cast("long")), F.max(norm)).first()
-    blocks = max(1, -(-n // 65536), min(partitions(spark), -(-n // 2048)))
+    blocks = max(1, -(-n // 32768), min(partitions(spark), -(-n // 2048)))
     chunks = max(1, -(-(n_queries or 0) // 8192))
     deal = lambda seed, m: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -114,7 +115,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, lines: int = 128,
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search(a, b, longest, k, lines, share, enough)
+        return search(a, b, longest, k, lines, share, enough, least)
 
     key = ["dim", "block", "chunk"]
     found = index.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
