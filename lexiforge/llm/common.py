@@ -57,6 +57,17 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def least_by_hash(rows: DataFrame, group: str, hashed: Column, k: int) -> DataFrame:
+    """A bounded draw: about the 4 k rows of each group with the least hash, or all rows of a smaller group.
+
+    hashed is an even 64-bit hash. Groups are few (labels): their counts are broadcast. Each task drops what lies
+    above its group's threshold, so what is left does not grow with the table.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    part = hashed / F.lit(2.0**64) + 0.5
+    return rows.join(F.broadcast(counts), group).filter(part * F.col("__n") <= 4 * k).drop("__n")
+
+
 def salt_of(column: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.llm.arrow_text import raw
+from lexiforge.llm.common import least_by_hash
 
 STRIDE, WIDTH, FILTERS = 8, 4, 24
 #: Blocks of STRIDE bytes that are looked at together, which bounds memory for texts of any length.
@@ -114,8 +115,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200, most_bytes:
     """
     labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes).join(labels, "doc_id")
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    ids = rows.select("doc_id", "quality").distinct().withColumn("r", rank).filter(F.col("r") <= per_class)
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy("u", "doc_id"))
+    drawn = least_by_hash(rows.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(7)).alias("u")).distinct(), "quality", F.col("u"), per_class)
+    ids = drawn.withColumn("r", rank).filter(F.col("r") <= per_class).select("doc_id", "quality", "r")
     got = docs.join(F.broadcast(ids), "doc_id").orderBy("r", "quality", F.xxhash64("text")).collect()  # at most 2 x per_class texts
     share = labels.agg(F.avg("quality")).first()[0]
     y = np.array([r["quality"] for r in got], float)
