@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.llm.arrow_text import raw
+from lexiforge.llm.common import least_by_hash
 
 SYMBOLS, ROWS, CHUNK = 96, 8192, 1 << 19
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang and text of up to per_language documents of each language: those of at most 32 KB first, then by hash."""
-    key = F.struct(F.octet_length("text") > 32768, F.xxhash64("text"), "doc_id")
+    """lang and text of up to per_language documents of each language: those of at most 32 KB first, then by the id's hash."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = rows.select("doc_id", "lang", key.alias("k"))
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).filter(F.col("r") <= per_language)
+    ids = rows.select("doc_id", "lang", (F.octet_length("text") > 32768).alias("long"), F.xxhash64("doc_id", F.lit(5)).alias("u"))
+    drawn = least_by_hash(ids.withColumn("group", F.struct("lang", "long")), "group", F.col("u"), per_language)
+    order = Window.partitionBy("lang").orderBy("long", "u", "doc_id")
+    ids = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
     return rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").orderBy("lang", F.xxhash64("text"))
 
 
