@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiforge import schema
 from lexiforge.functions import text as tx
 from lexiforge.functions.phonetics import espeak_notation, transcribe
-from lexiforge.operators import adapt, seed
+from lexiforge.operators import adapt, relational, seed
 from lexiforge.plans import bindings as b
 from lexiforge.plans.bindings import ENTRIES_SQL, TOKENS_SQL
 from lexiforge.plans.registry import query
@@ -167,3 +167,20 @@ def espeak(spark: SparkSession, d: str) -> DataFrame:
 def flat_entries(spark: SparkSession, d: str) -> DataFrame:
     form = F.get("inflections", F.lit(0))
     return adapt.entry_to_flat(b.nested_entries(spark, d)).select("id", "source.work_title", F.size("senses").alias("n_senses"), F.concat(form["form"], F.lit(":"), F.get(form["tags"], F.lit(0))).alias("form"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, CAST(len(senses) AS INTEGER) AS n_senses, md5(coalesce(list_aggregate(senses, 'string_agg', chr(10)), '')) AS senses_md5, word || ':' || provider AS form FROM e")
+def relational_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    out = relational.from_tables(relational.to_tables(b.nested_entries(spark, d)))
+    form = F.get("inflections", F.lit(0))
+    return out.select("id", F.size("senses").alias("n_senses"), F.md5(F.array_join(F.transform("senses", lambda s: s["text"]), "\n")).alias("senses_md5"), F.concat(form["form"], F.lit(":"), F.get(form["tags"], F.lit(0))).alias("form"))
+
+
+@query("SELECT doc_id, 'https://files/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'CC0' ELSE 'unknown' END AS license, 'Ro-' || doc_id || '.ogg' AS file FROM documents WHERE doc_id % 5 <> 0")
+def parse_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a media archive: two pages each, the first of which is missing; the second has a file unless the id is divisible by five."""
+    meta = F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, "<b>CC0</b>").alias("value")).alias("LicenseShortName"))
+    info = F.struct(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("https://files/"), "n")).alias("url"), meta.alias("extmetadata"))
+    page = lambda missing: F.struct(F.concat(F.lit("Ro-"), "n", F.lit(".ogg")).alias("title"), F.lit(missing).cast("boolean").alias("missing"), F.array(info).alias("imageinfo"))
+    body = F.to_json(F.struct(F.struct(F.array(page(True), page(None)).alias("pages")).alias("query")))
+    return documents.read_recordings(_raw(spark, d, "media", body)).select(F.col("word").cast("long").alias("doc_id"), "url", "license", "file")

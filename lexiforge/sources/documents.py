@@ -76,3 +76,28 @@ def html_text(html: Column) -> Column:
         return x.map(dom.page_text, na_action="ignore")
 
     return run(html)
+
+
+_INFO = "struct<url:string,mime:string,extmetadata:struct<LicenseShortName:struct<value:string>,Artist:struct<value:string>>>"
+
+
+def read_recordings(replies: DataFrame) -> DataFrame:
+    """word, url, mime, license, attribution, file: the first page with a file of each reply (word, body) of a media archive."""
+    page = f"struct<title:string,missing:boolean,imageinfo:array<{_INFO}>>"
+    pages = F.from_json("body", f"query struct<pages:array<{page}>>")["query"]["pages"]
+    url = lambda p: F.get(p["imageinfo"], F.lit(0))["url"]
+    found = F.get(F.filter(pages, lambda p: p["missing"].isNull() & (F.coalesce(url(p), F.lit("")) != "")), F.lit(0))
+    rows = replies.select("word", found.alias("p")).filter("p IS NOT NULL").select("word", "p.title", F.get("p.imageinfo", F.lit(0)).alias("i"))
+    plain = lambda c, other: F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "\\s+", " ")), F.lit("")), F.lit(other))
+    meta = "i.extmetadata."
+    return rows.select(
+        "word", "i.url", F.coalesce("i.mime", F.lit("application/ogg")).alias("mime"), plain(F.col(f"{meta}LicenseShortName.value"), "unknown").alias("license"),
+        plain(F.col(f"{meta}Artist.value"), "Wikimedia Commons contributors").alias("attribution"), F.coalesce("title", F.lit("")).alias("file"),
+    )
+
+
+def exact_titles(hits: DataFrame) -> DataFrame:
+    """word and title of the first hit (word, title, place) of each word whose name ends with the word itself."""
+    name = F.lower(F.regexp_replace("title", "\\.[A-Za-z0-9]+$", ""))
+    ends = name.endswith(F.concat(F.lit("-"), F.lower("word"))) | name.endswith(F.concat(F.lit("_"), F.lower("word")))
+    return hits.filter(ends & F.col("title").rlike("\\.[A-Za-z0-9]+$")).groupBy("word").agg(F.min_by("title", "place").alias("title"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexiforge.operators.rank import place_in_groups
 from lexiforge.sources.spool import partitions
 
 #: state, time in ms, flag -> new state, result
@@ -105,11 +106,14 @@ def daily_quota(rows: DataFrame, key: str, ts: str, tie: str, quota: int) -> Dat
 
 
 def failure_runs(rows: DataFrame, key: str, order: Sequence[Column], failed: Column, least: int = 5) -> DataFrame:
-    """key, first and n of each run of consecutive failures of at least `least` rows; order's first column names the rows."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumns({"__f": failed, "__i": F.row_number().over(w)})
-    run = F.col("__i") - F.row_number().over(Window.partitionBy(key, "__f").orderBy("__i"))
-    runs = marked.withColumn("__run", run).filter("__f").groupBy(key, "__run").agg(F.min("__i").cast("long").alias("first"), F.count("*").alias("n"))
+    """key, first (a place in the key's order) and n of each run of consecutive failures of at least `least` rows.
+
+    In a run the place among all rows and the place among failures grow together. Places come from ranges, so a key of any
+    size is spread over tasks.
+    """
+    placed = place_in_groups(rows.withColumn("__f", failed), [key], order, "__i").filter("__f")
+    placed = place_in_groups(placed.select(key, "__i"), [key], [F.col("__i")], "__j")
+    runs = placed.groupBy(key, (F.col("__i") - F.col("__j")).alias("__run")).agg(F.min("__i").alias("first"), F.count("*").alias("n"))
     return runs.filter(F.col("n") >= least).drop("__run")
 
 

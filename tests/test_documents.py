@@ -127,14 +127,12 @@ def test_search_folds_and_ranks(spark):
 
 
 def test_merging_rules(spark):
-    form = "struct<form:string,tags:array<string>,origin:string,confidence:string>"
     items = spark.createDataFrame([("k", 1, "case", ["plural", "x"], "derived", "low"), ("k", 2, "case", ["x", "plural"], "attested", "high"), ("k", 3, "casă", ["x"], "derived", "low")], "lemma string, at int, form string, tags array<string>, origin string, confidence string")
     got = merge.merge_inflections(items, ["lemma"]).orderBy("at").collect()
     assert [(r["at"], r["form"], r["origin"]) for r in got] == [(1, "case", "attested"), (3, "casă", "derived")]
     said = spark.createDataFrame([("k", 1, "a", "s1", None), ("k", 2, "a", "s2", None), ("k", 3, "b", None, "u"), ("k", 4, None, None, "u")], "lemma string, at int, ipa string, stress_mark string, audio_url string")
     got = merge.merge_pronunciations(said, ["lemma"], ["ipa", "stress_mark", "audio_url"]).orderBy("at").collect()
     assert [(r["ipa"], r["stress_mark"], r["audio_url"]) for r in got] == [("a", "s2", None), ("b", None, "u"), (None, None, "u")]
-    assert form
 
 
 def test_flat_form_round_trip(spark):
@@ -171,3 +169,8 @@ def test_statements_in_pieces(size):
     text = "a 'x;''y\\';' b; c \"d;\" `e;`;f"
     assert list(sqldump.statements(text[i : i + size] for i in range(0, len(text), size))) == ["a 'x;''y\\';' b", 'c "d;" `e;`', "f"]
     assert list(sqldump.tuples("INSERT INTO `t` VALUES (1,'a\\n(b)',NULL),(-2.5,'',x)")) == [["1", "a\n(b)", None], ["-2.5", "", "x"]]
+
+
+def test_titles_of_recordings(spark):
+    hits = spark.createDataFrame([("casă", "File:LL-ron-x-casandra.wav", 0), ("casă", "File:LL-ron-x-Casă.wav", 1), ("casă", "File:Ro_casă.ogg", 2), ("ou", "File:ou", 0)], "word string, title string, place int")
+    assert [tuple(r) for r in documents.exact_titles(hits).collect()] == [("casă", "File:LL-ron-x-Casă.wav")]
