@@ -47,10 +47,11 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
         held.groupBy("k1", "k2")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("owner"))
         .filter(F.col("n") >= min_docs)
-        .select("k1", "k2", "owner")
+        .select(F.struct("k1", "k2").alias("k"), "owner")
     )
+    # a key of another shape than the aggregate's, so that both sides are dealt anew and Spark can split a hot key's rows
     gone = (
-        lines.join(common, ["k1", "k2"])
+        lines.select("doc_id", "text_hash", "pos", F.struct("k1", "k2").alias("k")).join(common, "k")
         .filter(F.col("doc_id") != F.col("owner"))
         .groupBy(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).alias("__row"))
         .agg(F.array_distinct(F.collect_list("pos")).alias("__drop"))
