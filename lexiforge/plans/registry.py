@@ -452,10 +452,10 @@ _FAILED = "event_type IN ('error', 'view', 'signup')"
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     """Events as calls on a clock that runs 600 times slower, so that limits bite."""
-    return table(spark, d, "events").select("user_id", "event_id", F.expr("unix_millis(cast(ts AS timestamp)) DIV 600").alias("t"), F.expr(_FAILED).alias("failed"))
+    return table(spark, d, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts AS timestamp)) DIV 600000").alias("t"), F.expr(_FAILED).alias("failed"))
 
 
-_CALLS = f"e AS (SELECT user_id, event_id, epoch_ms(ts) // 600 AS t, {_FAILED} AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 600, event_id) AS n FROM events)"
+_CALLS = f"e AS (SELECT user_id, event_id, epoch_us(ts) // 600000 AS t, {_FAILED} AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 600000, event_id) AS n FROM events)"
 
 
 @query("SELECT event_id, user_id, used FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS used FROM events) WHERE used <= 2")
