@@ -39,21 +39,22 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
     names = sorted(set(langs))
     which = {x: i for i, x in enumerate(names)}
     parts = [np.frombuffer(b"\n\n\n" + text.encode("utf-8", "replace"), np.uint8) for text in texts]
-    owner = np.repeat(np.array([which[x] for x in langs], np.int32), [len(p) for p in parts])
+    owner = np.repeat(np.array([which[x] for x in langs], np.min_scalar_type(len(names))), [len(p) for p in parts])
     inner = np.ones(len(owner), bool)
     heads = np.cumsum([0, *(len(p) for p in parts)])[:-1]
     inner[(heads[:, None] + np.arange(3)).ravel()] = False
     data = np.concatenate(parts)
     del parts
     often = np.argsort(-np.bincount(data, minlength=256), kind="stable")[: symbols - 1]
-    sym = np.full(256, symbols - 1, np.int32)
-    sym[often] = np.arange(len(often), dtype=np.int32)
+    sym = np.full(256, symbols - 1, np.min_scalar_type(symbols))
+    sym[often] = np.arange(len(often))
     s, n_lang = sym[data], len(names)
+    del data
 
     def slices(order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Contexts of so many bytes, and symbol and language in one number; a slice at a time, for the driver's memory."""
-        for low in range(3, len(s), 1 << 20):
-            at = np.arange(low, min(len(s), low + (1 << 20)))
+        for low in range(3, len(s), 1 << 18):
+            at = np.arange(low, min(len(s), low + (1 << 18)))
             at = at[inner[at]]
             ctx = np.zeros(len(at), np.int64)
             for back in range(order, 0, -1):
@@ -89,9 +90,12 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
         unseen = np.where(counts > 0, 0, shorter)
         rest = unseen.sum(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
-            escape = np.where(rest > 0, distinct / (total + distinct), 0)
-            p = np.where(counts > 0, counts / total * (1 - escape), escape * unseen / rest)
-        blocks.append(np.where(total > 0, p, shorter))
+            escape = np.where(rest > 0, distinct / (total + distinct), 0).astype(np.float32)
+            unseen *= escape / rest
+            p = np.where(counts > 0, counts * ((1 - escape) / total), unseen)
+        np.copyto(p, shorter, where=total == 0)
+        blocks.append(p)
+        del counts, shorter, unseen, p, place
         index.append(full)
         base += len(kept)
     cost = -np.log2(np.maximum(np.concatenate(blocks), 1e-12)).reshape(-1, n_lang).astype(np.float32)
