@@ -1,17 +1,19 @@
 """Exact substring deduplication with suffix arrays: remove every byte covered by a 400-byte string that starts twice.
 
 Suffix arrays of a whole corpus would have to be merged pair by pair, which grows with the square of the shards. So the
-strings are dealt to shards by their content first. Each 400-byte window has an anchor: the leftmost of its 64-byte grams
-with the least hash. Equal windows have equal anchors, so windows can only be equal within one anchor. Consecutive windows of a
-document with the same anchor form a span. Then:
-
-1. Spans are counted by anchor and hash. Spans seen twice are covered whole; anchors with one distinct span are done.
-2. The distinct spans of the other anchors (the ends of repeated passages, mostly) are fetched and dealt to shards. Each
-   shard builds its suffix array by Larsson-Sadakane refinement, common prefixes by Kasai's rule, and finds the
-   windows that are equal.
-3. An anchor with very many distinct spans is dealt to several shards. Those report each distinct window once, as a digest, and
-   equal digests of different shards are found by binary search in sorted arrays.
-4. Covered spans are joined back to the documents, which lose the bytes.
+strings are dealt to shards by their content first. Each window (400 bytes) has an anchor: the leftmost of its 64-byte grams
+with the least hash. Equal windows have equal anchors, so windows can only be equal within one anchor. Consecutive windows
+of a document with the same anchor form a span. Then:
+
+1. Spans are counted by anchor. An anchor that stands once cannot repeat and is left out; nothing else is decided by counts.
+2. Of every other anchor the distinct spans are fetched, two places of a span that has several, and dealt to shards. Each
+   shard builds its suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's rule; windows whose
+   suffixes share 400 bytes are equal.
+3. An anchor with many spans is dealt to several shards. Those report their distinct windows as digests in sorted arrays, and
+   equal windows of different shards are found by binary search.
+4. Covered spans are joined back to all documents that hold them, which lose the bytes.
+
+A second, shorter length (passage) can be looked for by the same arrays; it is reported and not cut.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.arrow_text import raw
-from lexiforge.llm.common import partitions, spool
+from lexiforge.llm.common import fresh, partitions, spool
 
-LENGTH, GRAM, CHUNK = 400, 64, 1 << 19
+LENGTH, PASSAGE, GRAM, CHUNK = 400, 256, 64, 1 << 19
 _TABLE = np.random.default_rng(20240).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-RECORD = "doc_id long, h long, anchor long, span long, start long, m int, off int"
+RECORD = "k1 long, k2 long, anchor long, span long, start long, m int, size int, off int"
 
 
 # ---- anchors ----------------------------------------------------------------------------------------------------
@@ -56,31 +58,37 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Spans of the texts in buf: text (index), start (byte in it), m (windows), off (the anchor's place), anchor and span (hashes)."""
+def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, reach: int = 0) -> dict[str, np.ndarray]:
+    """Spans of the texts in buf: text (index), start (byte in it), m (windows), size (bytes), off (the anchor's place), anchor and span (hashes).
+
+    Windows have `length` bytes; a span's bytes go on for `reach` (at least length) from its last window, or to the text's end.
+    """
     import xxhash
 
-    n = len(offsets) - 1
-    pieces: list[tuple[int, int, int]] = []  # text, first and last byte
+    n, reach = len(offsets) - 1, max(reach, length)
+    pieces: list[tuple[int, int, int, int]] = []  # text, first byte, last byte of windows, last byte
     for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
         a, b = int(offsets[i]), int(offsets[i + 1])
-        pieces += [(i, at, min(b, at + CHUNK + length - 1)) for at in range(a, b - length + 1, CHUNK)]
-    out: dict[str, list] = {k: [] for k in ("text", "start", "m", "off", "anchor", "span")}
+        pieces += [(i, at, min(b, at + CHUNK + length - 1), min(b, at + CHUNK + reach - 1)) for at in range(a, b - length + 1, CHUNK)]
+    kinds = {"text": np.int64, "start": np.int64, "m": np.int32, "size": np.int32, "off": np.int32, "anchor": np.uint64, "span": np.uint64}
+    out: dict[str, list] = {k: [np.zeros(0, t)] for k, t in kinds.items()}
+    digest = xxhash.xxh3_64_intdigest
     at = 0
     while at < len(pieces):
         group, size = [], 0
-        while at < len(pieces) and (not group or size + pieces[at][2] - pieces[at][1] <= CHUNK):
+        while at < len(pieces) and (not group or size + pieces[at][3] - pieces[at][1] <= CHUNK):
             group.append(pieces[at])
-            size += pieces[at][2] - pieces[at][1]
+            size += pieces[at][3] - pieces[at][1]
             at += 1
-        whole = np.concatenate([buf[a:b] for _, a, b in group]) if len(group) > 1 else np.ascontiguousarray(buf[group[0][1] : group[0][2]])
-        begins = np.cumsum([0, *(b - a for _, a, b in group)])
+        whole = np.concatenate([buf[a:b] for _, a, _, b in group]) if len(group) > 1 else np.ascontiguousarray(buf[group[0][1] : group[0][3]])
+        begins = np.cumsum([0, *(b - a for _, a, _, b in group)])
+        stop_at = begins[:-1] + np.array([c - a for _, a, c, _ in group])
         g = _gram_hashes(whole, gram)
         low = np.uint64((1 << 20) - 1)
         least = _window_min((g & ~low) | np.arange(len(g), dtype=np.uint64), length - gram + 1) & low
         valid = np.zeros(len(least) + 1, np.int8)  # a change of +1 where windows begin in a text, -1 where they end
         valid[begins[:-1]] += 1
-        ends = begins[1:] - length + 1
+        ends = stop_at - length + 1
         valid[ends] -= 1
         valid = np.cumsum(valid[:-1]).astype(bool)
         new = valid.copy()
@@ -88,26 +96,29 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         starts = np.flatnonzero(new)
         owner = np.searchsorted(begins, starts, "right") - 1
         stops = np.minimum(np.r_[starts[1:], len(least)], ends[owner])
+        last = np.minimum(stops + reach - 1, begins[owner + 1])
         view = memoryview(whole)
-        digest = xxhash.xxh3_64_intdigest
-        out["span"].append(np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), (stops + length - 1).tolist(), strict=True)), np.uint64, len(starts)))
+        out["span"].append(np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, len(starts)))
         out["anchor"].append(g[least[starts].astype(np.int64)])
         out["m"].append((stops - starts).astype(np.int32))
+        out["size"].append((last - starts).astype(np.int32))
         out["off"].append((least[starts].astype(np.int64) - starts).astype(np.int32))
-        text = np.array([i for i, _, _ in group], np.int64)[owner]
+        text = np.array([i for i, _, _, _ in group], np.int64)[owner]
         out["text"].append(text)
-        out["start"].append(np.array([a for _, a, _ in group], np.int64)[owner] - offsets[text] + starts - begins[owner])
-    kinds = {"text": np.int64, "start": np.int64, "m": np.int32, "off": np.int32, "anchor": np.uint64, "span": np.uint64}
-    return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()} if n else {k: np.zeros(0, t) for k, t in kinds.items()}
+        out["start"].append(np.array([a for _, a, _, _ in group], np.int64)[owner] - offsets[text] + starts - begins[owner])
+    return {k: np.concatenate(v) if n else np.zeros(0, kinds[k]) for k, v in out.items()}
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], length: int, reach: int) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        s = spans(*raw(x.column("text")))
-        ids, h = x.column("doc_id"), x.column("h")
+        s = spans(*raw(x.column("text")), length, GRAM, reach)
         at = pa.array(s["text"])
-        cols = [ids.take(at), h.take(at), pa.array(s["anchor"].view(np.int64)), pa.array(s["span"].view(np.int64)), pa.array(s["start"]), pa.array(s["m"]), pa.array(s["off"])]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "anchor", "span", "start", "m", "off"])
+        hashes = [pa.array(s[c].view(np.int64)) for c in ("anchor", "span")]
+        yield pa.RecordBatch.from_arrays(
+            [x.column("k1").take(at), x.column("k2").take(at), *hashes, *(pa.array(s[c]) for c in ("start", "m", "size", "off"))],
+            names=["k1", "k2", "anchor", "span", "start", "m", "size", "off"],
+        )
+        pa.default_memory_pool().release_unused()
 
 
 # ---- suffix arrays ----------------------------------------------------------------------------------------------
@@ -125,25 +136,41 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = key[:n] * np.uint64(1 << 27) + (key[3 : n + 3] & np.uint64((1 << 27) - 1)) if n else key[:0]
     # bytes i to i + 3, then i + 4 to i + 6, which are the last three of those from i + 3 on
     h = 7
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     sorted_key = key[sa]
-    head = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    head = np.r_[True, sorted_key[1:] != sorted_key[:-1], True] if n else np.ones(1, bool)  # whether a place begins a group
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head[:-1], np.arange(n, dtype=np.int32), 0))
+    padded = np.zeros(n + 1, np.int32)  # rank + 1 of a suffix; 0 past the end
     while True:
-        single = head & np.r_[head[1:], True]
-        slot = np.flatnonzero(~single)  # places in sa that are not settled
+        slot = np.flatnonzero(~(head[:-1] & head[1:]))  # places in sa that are not settled
         if not len(slot):
             return sa, rank
+        padded[:n] = rank
+        padded[:n] += 1
+        first = head[slot]
+        two = first & head[slot + 2 - (slot + 2 > n)] & (slot + 1 < n)  # groups of two need no sort
+        p = slot[two]
+        a, b = sa[p], sa[p + 1]
+        x, y = padded[np.minimum(a + h, n)], padded[np.minimum(b + h, n)]
+        turn, settled = x > y, x != y
+        second = np.where(turn, a, b)
+        in_two = two.copy()
+        in_two[1:] |= two[:-1]
+        slot = slot[~in_two]
         at = sa[slot]
-        ahead = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        order = np.argsort(rank[at] * (n + 1) + ahead, kind="stable")
+        ahead = padded[np.minimum(at + h, n)]
+        order = np.argsort(rank[at].astype(np.int64) * (n + 1) + ahead, kind="stable")
         at, ahead = at[order], ahead[order]
         own = rank[at]
-        sa[slot] = at
-        fresh = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
-        head[slot] = fresh
-        rank[at] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(slot)), 0))]
+        sa[p], sa[p + 1] = np.where(turn, b, a), second
+        head[p[settled] + 1] = True
+        rank[second[settled]] = p[settled] + 1
+        if len(slot):
+            sa[slot] = at
+            fresh_group = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
+            head[slot] = fresh_group
+            rank[at] = slot[np.maximum.accumulate(np.where(fresh_group, np.arange(len(slot)), 0))]
         h *= 2
 
 
@@ -183,69 +210,68 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.nd
     return lcp
 
 
-def equal_windows(texts: list[bytes], windows: list[int], length: int = LENGTH) -> np.ndarray:
-    """A class for each window of each text, text by text: equal windows have one class. Text i has windows[i] of them."""
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    base = np.cumsum([0, *(len(t) for t in texts)])[:-1]
-    many = np.array(windows)
-    at = np.repeat(base - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-    sa, rank = suffix_array(text)
-    lcp = common_prefixes(text, sa, rank)
-    return np.cumsum(lcp < length)[rank[at]]
-
-
 # ---- shards -----------------------------------------------------------------------------------------------------
 
 #: Windows of a hot anchor are reported in blocks of so many neighbours, by their place against the anchor.
 BLOCK = 8
-FOUND = "anchor long, span long, rel int, size int, d1 long, d2 long, windows binary"
+FOUND = "level int, anchor long, span long, rel int, size int, d1 long, d2 long, windows binary"
 _WINDOW = np.dtype([("rel", "<i4"), ("open", "u1"), ("digest", "<i8")])
 
 
-def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard. Yields covered byte runs (size > 0) of spans, and of hot anchors blocks of their distinct windows.
+def _repeats(x: pd.DataFrame, lengths: list[int]) -> Iterator[pd.DataFrame]:
+    """The repeats of one shard, at each length: runs of bytes (size > 0), and of hot anchors blocks of distinct windows.
 
     All windows of a block hold the same core, the bytes from the last one's start to the first one's end. Blocks whose
     core no other span has need no look at their windows.
     """
     import xxhash
 
-    def done(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.drop_duplicates(["anchor", "span"], ignore_index=True)
-        texts, m = x["bytes"].tolist(), x["m"].to_numpy()
-        kind = equal_windows(texts, m.tolist(), length)
-        text = np.repeat(np.arange(len(x)), m)
-        rel = np.arange(len(kind)) - np.repeat(np.cumsum(m) - m, m)
-        _, back, many = np.unique(kind, return_inverse=True, return_counts=True)
-        twice = many[back] > 1
-        edge = np.r_[True, (text[1:] != text[:-1]) | (twice[1:] != twice[:-1])] if len(text) else np.zeros(0, bool)
+    digest = xxhash.xxh3_64_intdigest
+    texts, m, sizes = x["bytes"].tolist(), x["m"].to_numpy(), x["bytes"].str.len().to_numpy()
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.cumsum(sizes) - sizes
+    sa, rank = suffix_array(whole)
+    lcp = common_prefixes(whole, sa, rank)
+    anchor, span, hot, place = (x[c].to_numpy() for c in ("anchor", "span", "hot", "off"))
+    for level, length in enumerate(lengths):
+        many = np.clip(np.minimum(m, sizes - length + 1), 0, None)  # windows of this length
+        text = np.repeat(np.arange(len(x)), many)
+        if not len(text):
+            continue
+        rel = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        # suffixes that share `length` bytes are neighbours in suffix order: one class
+        kind = np.cumsum(lcp < length)[rank[base[text] + rel]]
+        twice = np.bincount(kind)[kind] > 1
+        edge = np.r_[True, (text[1:] != text[:-1]) | (twice[1:] != twice[:-1])]
         heads = np.flatnonzero(edge)
         tails = np.r_[heads[1:], len(text)]
         on = twice[heads]
         heads, tails = heads[on], tails[on]
-        size = tails - heads + length - 1
-        anchor, span, hot = (x[c].to_numpy() for c in ("anchor", "span", "hot"))
-        runs = pd.DataFrame({"anchor": anchor[text[heads]], "span": span[text[heads]], "rel": rel[heads], "size": size, "d1": 0, "d2": 0, "windows": None})
+        t = text[heads]
+        yield pd.DataFrame({"level": level, "anchor": anchor[t], "span": span[t], "rel": rel[heads], "size": tails - heads + length - 1, "d1": 0, "d2": 0, "windows": None})
         if not hot.any():
-            return runs
+            continue
         _, one = np.unique(kind, return_index=True)
         one = np.sort(one[hot[text[one]]])
+        if not len(one):
+            continue
         windows = np.zeros(len(one), _WINDOW)
         windows["rel"], windows["open"] = rel[one], ~twice[one]
-        digest = xxhash.xxh3_64_intdigest
         windows["digest"] = np.fromiter((digest(texts[t][r : r + length]) for t, r in zip(text[one].tolist(), rel[one].tolist(), strict=True)), np.uint64, len(one)).view(np.int64)
-        place = x["off"].to_numpy()
         block = (place[text[one]] - rel[one]) // BLOCK
         starts = np.flatnonzero(np.r_[True, (text[one][1:] != text[one][:-1]) | (block[1:] != block[:-1])])
         cores = []
         for t, k in zip(text[one[starts]].tolist(), block[starts].tolist(), strict=True):
             at = int(place[t]) - BLOCK * k  # the last window of the block starts here
-            cores.append(xxhash.xxh3_128_intdigest(texts[t][at : at + length - BLOCK + 1]))
+            cores.append(xxhash.xxh3_128_intdigest(texts[t][at : at + length - BLOCK + 1], seed=level))
         halves = np.array([(d >> 64, d & ((1 << 64) - 1)) for d in cores], np.uint64).reshape(-1, 2).view(np.int64)
         packed = [windows[a:b].tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(one)], strict=True)]
-        extra = pd.DataFrame({"anchor": anchor[text[one[starts]]], "span": span[text[one[starts]]], "rel": 0, "size": 0, "d1": halves[:, 0], "d2": halves[:, 1], "windows": packed})
-        return pd.concat([runs, extra], ignore_index=True)
+        t = text[one[starts]]
+        yield pd.DataFrame({"level": level, "anchor": anchor[t], "span": span[t], "rel": 0, "size": 0, "d1": halves[:, 0], "d2": halves[:, 1], "windows": packed})
 
+
+def _shards(batches: Iterator[pd.DataFrame], lengths: list[int], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by shard; whole shards of about `most` bytes together get one suffix array."""
     kept: list[pd.DataFrame] = []
     size = 0
     for x in batches:
@@ -257,11 +283,11 @@ def _shards(batches: Iterator[pd.DataFrame], length: int = LENGTH, most: int = 1
                 whole = pd.concat(kept, ignore_index=True)
                 cut = int(np.searchsorted(whole["shard"].to_numpy(), whole["shard"].iloc[-1]))
                 if cut:
-                    yield done(whole[:cut])
+                    yield from _repeats(whole[:cut].reset_index(drop=True), lengths)
                     kept = [whole[cut:]]
                     size = int(kept[0]["bytes"].str.len().sum())
     if kept:
-        yield done(pd.concat(kept, ignore_index=True))
+        yield from _repeats(pd.concat(kept, ignore_index=True), lengths)
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,10 +296,10 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(x):
             windows = np.frombuffer(b"".join(x["windows"]), _WINDOW)
             at = np.repeat(np.arange(len(x)), x["windows"].str.len() // _WINDOW.itemsize)
-            yield pd.DataFrame({**{c: x[c].to_numpy()[at] for c in ("anchor", "span", "d1", "d2")}, "rel": windows["rel"], "open": windows["open"] > 0, "digest": windows["digest"]})
+            yield pd.DataFrame({**{c: x[c].to_numpy()[at] for c in ("level", "anchor", "span", "d1", "d2")}, "rel": windows["rel"], "open": windows["open"] > 0, "digest": windows["digest"]})
 
 
-def _merge_shards(batches: Iterator[pd.DataFrame], length: int = LENGTH) -> Iterator[pd.DataFrame]:
+def _merge_shards(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
     """Windows that another shard holds as well; equal digests are in one partition. Found by binary search."""
     rows = [x for x in batches if len(x)]
     if not rows:
@@ -285,80 +311,97 @@ def _merge_shards(batches: Iterator[pd.DataFrame], length: int = LENGTH) -> Iter
     merged = np.sort(code)
     many = np.searchsorted(merged, code, "right") - np.searchsorted(merged, code, "left")
     x = x[(many > 1) & x["open"].to_numpy()]
-    yield pd.DataFrame({"anchor": x["anchor"], "span": x["span"], "rel": x["rel"], "size": np.int32(length)})
+    yield pd.DataFrame({"level": x["level"], "anchor": x["anchor"], "span": x["span"], "rel": x["rel"], "size": np.array(lengths, np.int32)[x["level"]]})
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the runs out of the texts."""
+def _joined(runs: list[dict]) -> list[list[int]]:
+    """Runs of bytes as maximal stretches; runs that touch are one."""
+    out: list[list[int]] = []
+    for a, b in sorted((r["start"], r["stop"]) for r in runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text_at: str, runs_at: str, names: list[str], passage: bool) -> Iterator[pa.RecordBatch]:
+    """Take the runs of level 0 out of the texts; count the bytes of all runs for the passages."""
     for x in batches:
-        names = [n for n in x.schema.names if n not in ("__runs", "h")]
-        texts, rows = x.column("text").to_pylist(), x.column("__runs").to_pylist()
-        n_bytes, n_removed, n_spans, sha, kept_texts = [], [], [], [], []
+        texts, rows = x.column(text_at).to_pylist(), x.column(runs_at).to_pylist()
+        n_bytes, n_removed, n_spans, sha, kept_texts, shared = [], [], [], [], [], []
         for text, runs in zip(texts, rows, strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            kept, at, removed, many = [], 0, 0, 0
-            last = -1
-            for a, b in sorted((r["start"], r["stop"]) for r in runs or ()):
-                if a > last:
-                    kept.append(data[at:a])
-                    many += 1
-                    removed += b - a
-                    at = last = b
-                elif b > last:
-                    removed += b - last
-                    at = last = b
+            gone = _joined([r for r in runs or () if r["level"] == 0])
+            at, kept = 0, []
+            for a, b in gone:
+                kept.append(data[at:a])
+                at = b
             rest = b"".join([*kept, data[at:]])
             n_bytes.append(len(data))
-            n_removed.append(removed)
-            n_spans.append(many)
+            n_removed.append(len(data) - len(rest))
+            n_spans.append(len(gone))
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept_texts.append(rest.decode("utf-8", "ignore") if removed else text or "")
-        cols = [pa.array(kept_texts, pa.string()) if n == "text" else x.column(n) for n in names]
+            kept_texts.append(rest.decode("utf-8", "ignore") if gone else text or "")
+            shared.append(sum(b - a for a, b in _joined(runs or ())))
+        cols = [pa.array(kept_texts, pa.string()) if n == text_at else x.column(n) for n in names]
         new = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([*cols, *new, *([pa.array(shared, pa.int64())] if passage else [])], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage"] if passage else [])])
+        pa.default_memory_pool().release_unused()
 
 
-def remove_repeats(docs: DataFrame, most: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, most: int = 32) -> DataFrame:
     """docs with text less every repeated byte, and n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes.
 
-    Where a cut splits a character, the text loses the rest of it (kept_sha256 is of the bytes). Null texts are empty.
-    Repeated rows count as documents each, so they cover one another. Rows need no unique id. Other columns pass
-    through; columns with the new names are replaced. most: distinct spans of an anchor in one shard.
+    length: of the strings whose bytes go. passage: a shorter length to look for as well; n_passage is the number of
+    the input's bytes in such strings (without it the column is absent). most: places of an anchor in one shard.
+
+    Where a cut splits a character, the text loses the rest of it (kept_sha256 is of the bytes). Null and empty texts are
+    empty and lose nothing. A text of any length is looked at in pieces of half a megabyte that overlap; one text
+    with its runs must fit into a worker. Repeated rows count as documents each, so they cover one another; rows need
+    no unique id, nor any. An empty table gives no rows. Other columns pass through; columns with the new names
+    are replaced.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "h", "__runs")
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage"] if passage else [])]
+    docs = docs.drop(*new)
     spark = docs.sparkSession
-    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    records = spool(keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text").mapInArrow(_records, RECORD))
+    lengths = [length, passage] if passage else [length]
+    shortest, reach = min(lengths), max(lengths)
+    k1, k2, runs_at = fresh(docs.columns, "k1", "k2", "runs")
+    # 128 bits name a row by its id and text; rows that repeat are alike in all that follows
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({k1: F.xxhash64("doc_id", text), k2: F.xxhash64(F.lit(2), text, "doc_id")})
+    own = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text")
+    records = spool(own.filter(F.octet_length("text") >= shortest).mapInArrow(lambda it: _records(it, shortest, reach), RECORD))
     # partial sums come first, so a span that a third of all documents hold is one row of each task here
-    counted = spool(records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "m", "off")).alias("at")))
-    several = counted.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
-    wanted = counted.join(several, "anchor").select("anchor", "span", "k", "at.*")
+    where = F.struct("k1", "k2", "start", "m", "size", "off")
+    counted = spool(records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last")))
+    places = counted.groupBy("anchor").agg(F.sum(F.least("n", F.lit(2))).alias("k")).filter(F.col("k") > 1)
+    two = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at")), F.struct(F.lit(1).alias("nth"), F.col("last").alias("at"))))
+    two = two.otherwise(F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at"))))
+    wanted = counted.join(places, "anchor").select("anchor", "span", "k", F.explode(two).alias("x")).select("anchor", "span", "k", "x.nth", "x.at.*")
     sub = F.pmod(F.col("span"), F.ceil(F.col("k") / most))
-    wanted = wanted.select("doc_id", "h", "start", "m", "off", "anchor", "span", (F.col("k") > most).alias("hot"), F.xxhash64("anchor", sub).alias("shard"))
-    # null ids are equal here
-    texts = keyed.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "text")
-    fetched = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")))
-    cut = F.expr(f"substring(cast(text AS binary), cast(start AS int) + 1, m + {LENGTH - 1})")
-    fetched = fetched.select("shard", "anchor", "span", "m", "off", "hot", cut.alias("bytes"))
-    dealt = fetched.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
-    found = spool(dealt.mapInPandas(_shards, FOUND))
-    runs = found.filter("size > 0").select("anchor", "span", "rel", "size")
-    blocks = found.filter("size = 0").select("anchor", "span", "d1", "d2", "windows")
+    wanted = wanted.withColumns({"hot": F.col("k") > most, "shard": F.xxhash64("anchor", sub)}).drop("k")
+    cut = F.expr("substring(cast(text AS binary), cast(start AS int) + 1, size)")
+    fetched = wanted.join(own, ["k1", "k2"]).select("k1", "k2", "start", "nth", "shard", "anchor", "span", "m", "off", "hot", cut.alias("bytes"))
+    fetched = fetched.dropDuplicates(["k1", "k2", "start", "nth", "anchor"])  # a row that repeats is fetched as often
+    dealt = fetched.select("shard", "anchor", "span", "m", "off", "hot", "bytes").repartition(partitions(spark), "shard").sortWithinPartitions("shard")
+    found = spool(dealt.mapInPandas(lambda it: _shards(it, lengths), FOUND))
+    runs = found.filter("size > 0").select("level", "anchor", "span", "rel", "size")
+    blocks = found.filter("size = 0").select("level", "anchor", "span", "d1", "d2", "windows")
     shared = blocks.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
-    across = blocks.join(shared, ["d1", "d2"]).mapInPandas(_unpack, "anchor long, span long, d1 long, d2 long, rel int, open boolean, digest long")
+    across = blocks.join(shared, ["d1", "d2"]).mapInPandas(_unpack, "level int, anchor long, span long, d1 long, d2 long, rel int, open boolean, digest long")
     across = across.repartition(partitions(spark), "d1", "digest")
-    runs = runs.unionByName(across.mapInPandas(_merge_shards, "anchor long, span long, rel int, size int"))
-    listed = runs.groupBy("anchor", "span").agg(F.collect_list(F.struct("rel", "size")).alias("runs"))  # at most as many as a span has windows
-    whole = F.array(F.struct(F.lit(0).alias("rel"), (F.col("at.m") + LENGTH - 1).alias("size")))
-    twice = counted.filter("n > 1").select("anchor", "span", whole.alias("runs"))
-    once = counted.filter("n = 1").select("anchor", "span").join(listed, ["anchor", "span"])
-    covered = records.join(twice.unionByName(once), ["anchor", "span"])
-    ends = F.transform("runs", lambda r: F.struct((F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
-    by_doc = covered.groupBy("doc_id", "h").agg(F.flatten(F.collect_set(ends)).alias("__runs"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "__runs")
-    out = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")), "left").drop("__d", "__h")
+    runs = runs.unionByName(across.mapInPandas(lambda it: _merge_shards(it, lengths), "level int, anchor long, span long, rel int, size int"))
+    listed = runs.groupBy("anchor", "span").agg(F.collect_set(F.struct("level", "rel", "size")).alias("runs"))  # at most as many as a span has windows
+    ends = F.transform("runs", lambda r: F.struct(r["level"].alias("level"), (F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
+    covered = records.join(listed, ["anchor", "span"]).groupBy("k1", "k2").agg(F.flatten(F.collect_set(ends)).alias(runs_at))
+    out = keyed.join(covered.select(F.col("k1").alias(k1), F.col("k2").alias(k2), runs_at), [k1, k2], "left").drop(k1, k2)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return out.mapInArrow(_cut, f"{columns}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = dict(zip(["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"], ["long", "long", "long", "string", "long"], strict=True))
+    columns = ", ".join([columns, *(f"{c} {kinds[c]}" for c in new)])
+    names = docs.columns
+    return out.mapInArrow(lambda it: _cut(it, "text", runs_at, names, bool(passage)), columns)

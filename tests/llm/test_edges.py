@@ -24,7 +24,7 @@ TEXTS = [
     "word " * 40000, "\x00 zero", "emoji 😀 ḿ İ ß", "|<|endoftext|>|", "▁ ▁▁", "123 45",
 ]
 #: Names that operators use for themselves.
-EXTRA = ["h", "key", "score", "n_bytes", "n_lines", "size", "rank", "lang_pred", "__runs", "bucket", "salt", "fp", "held_out"]
+EXTRA = ["h", "k1", "_k1", "runs", "row", "drop", "line", "pos", "key", "score", "n_bytes", "n_lines", "size", "rank", "lang_pred", "__runs", "bucket", "salt", "fp", "held_out"]
 
 
 def frame(spark, texts=TEXTS, more=()):
@@ -82,7 +82,7 @@ def test_suffix_dedup(spark):
     for d, n, gone, spans, kept in brute.suffix_dedup(list(enumerate(TEXTS))):
         r = got[d]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, brute.sha(kept))
-        assert r["score"] == f"x{d}"
+        assert all(r[c] == f"x{d}" for c in EXTRA if c != "n_bytes")
     again = suffix_dedup.remove_repeats(bare(spark, more=MORE)).collect()
     assert len(again) == len(TEXTS) + len(MORE)
     assert all(r["n_removed"] == len(PASSAGE) for r in again if r["text"] is not None and r["n_bytes"] == len(PASSAGE))
@@ -97,10 +97,12 @@ def test_suffix_dedup_at_random(spark):
         parts = [b[(s := rng.randint(0, 700)) : s + rng.randint(350, 480)] if rng.random() < 0.7 else "".join(rng.choice("abcdé") for _ in range(rng.randint(0, 90))) for b in rng.choices(base, k=4)]
         texts.append("".join(parts))
     texts += ["ab" * 2000, "a" * 3000, "ab" * 2100]
-    for most in (256, 2):  # also with every anchor dealt to several shards
-        got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(bare(spark, texts), most).collect()}
-        for d, n, gone, spans, kept in brute.suffix_dedup(list(enumerate(texts))):
-            assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (n, gone, spans, brute.sha(kept))
+    want, shorter = brute.suffix_dedup(list(enumerate(texts))), brute.suffix_dedup(list(enumerate(texts)), 256)
+    for most in (32, 2):  # also with every anchor dealt to several shards
+        got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(bare(spark, texts), passage=256, most=most).collect()}
+        for (d, n, gone, spans, kept), short in zip(want, shorter, strict=True):
+            r = got[d]
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) == (n, gone, spans, brute.sha(kept), short[2])
 
 
 @settings(max_examples=60, deadline=None)
