@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import partitions
+from lexiforge.llm.common import partitions, spool
 
 WORD = (1 << 32) - 1
 DENSE, BITS = 16, 64
@@ -56,61 +56,70 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - off / F.nullif(both, F.lit(0.0))))
 
 
-def _bounds(docs: DataFrame, order: str, n: int) -> list:
-    """About n quantiles of the ordering column: where to cut the order into ranges of even row counts."""
+def _cuts(docs: DataFrame, n: int) -> list[int]:
+    """n - 1 quantiles of the ids at most, ascending: where to cut the order into ranges of even row counts. An id with many rows repeats."""
     at = [i / n for i in range(1, n)]
     if not at:
         return []
-    found = docs.agg(F.percentile_approx(order, at, 20 * n).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    return sorted(docs.agg(F.percentile_approx("doc_id", at, 20 * n).alias("b")).first()["b"] or [])
 
 
-def _range_of(order: Column, bounds: list) -> Column:
-    """The number of bounds below the value, by a search in two steps."""
-    if not bounds:
+def _below(value: Column, cuts: list[int], same: bool) -> Column:
+    """How many cuts lie below the value (same: or are equal to it), by a search in two steps."""
+    if not cuts:
         return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    step = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    under = (lambda b: b <= value) if same else (lambda b: b < value)
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    heads = longs(b[-1] for b in blocks)
-    first = F.size(F.filter(heads, lambda b: b < order))
+    first = F.size(F.filter(longs(b[-1] for b in blocks), under))
     inner = F.get(F.array(*[longs(b) for b in blocks]), first)
-    return first * step + F.coalesce(F.size(F.filter(inner, lambda b: b < order)), F.lit(0))
+    return first * step + F.coalesce(F.size(F.filter(inner, under)), F.lit(0))
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, next_text, and bucket and rn, which together name the row.
 
-    The next document is the one before it by doc_id; after the last comes the first. Rows are dealt to ranges of
-    doc_id; the first row of the following range stands at the end of each as a guest (guest = true), so that no
-    window ever spans all rows. Repeated ids are ordered by text.
+    The next document is the one before it by doc_id; after the last comes the first. Rows of one id, and rows without
+    an id, which come last, are ordered by a hash of the text. Rows are dealt to ranges of that order, so an id with
+    very many rows has several; the first row of the following range stands at the end of each as a guest (guest = true),
+    so that no window ever spans all rows.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
-    bounds = _bounds(docs, "doc_id", ranges)
-    dealt = docs.withColumn("bucket", _range_of(F.col("doc_id"), bounds))
-    # at most `ranges` rows: the largest id of each range
-    tops = sorted((r["bucket"], r["top"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    if not tops:
-        return dealt.select("doc_id", "text", F.col("text").alias("next_text"), "bucket", F.lit(1).alias("rn"), F.lit(False).alias("guest"))
-    follows = {tops[i][0]: tops[i - 1] for i in range(len(tops))}  # of the lowest range: the highest
-    hosts = F.create_map(*[F.lit(x).cast("long") for host, (_, top) in follows.items() for x in (top, host)])
-    largest = F.array(*[F.lit(top).cast("long") for _, top in tops])
-    heads = dealt.filter(F.array_contains(largest, F.col("doc_id"))).withColumn("bucket", hosts[F.col("doc_id")].cast("int"))
-    # of rows that repeat the largest id, the one that comes first
-    one = Window.partitionBy("bucket").orderBy(F.col("text").desc())
-    heads = heads.withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k").withColumn("guest", F.lit(True))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc(), F.col("text").desc())
-    rows = dealt.withColumn("guest", F.lit(False)).unionByName(heads)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    cuts = _cuts(docs, ranges)
+    share = F.col("h") / F.lit(2.0**64) + 0.5
+    low, high = (_below(F.col("doc_id"), cuts, same) for same in (False, True))
+    # an id that several cuts name is split among them by the hash
+    bucket = F.when(F.col("doc_id").isNull(), F.floor(share * ranges).cast("int") - ranges - 1).otherwise(low + F.floor(share * (high - low)).cast("int"))
+    dealt = docs.withColumn("bucket", bucket)
+    # the first row of each range, 2 x ranges at most; it is a guest of the range above, that of the highest one of the lowest
+    tops = spool(dealt.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")).alias("top")))
+    every = Window.orderBy("bucket")
+    host = F.coalesce(F.lead("bucket").over(every), F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = tops.select("bucket", F.col("top.doc_id").alias("d"), F.col("top.h").alias("top"), host.alias("host"))
+    mine = dealt.join(F.broadcast(heads), "bucket").filter((F.col("h") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    # rows that are alike in id and text are one guest
+    one = Window.partitionBy("host").orderBy("h")
+    mine = mine.withColumn("k", F.row_number().over(one)).filter("k = 1").select("doc_id", "text", "h", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    rows = dealt.withColumn("guest", F.lit(False)).unionByName(mine)
     return rows.withColumns({"next_text": F.lead("text").over(order), "rn": F.row_number().over(order)})
 
 
+#: Whole words of a row that are carried to its sums: SHA-512's sixteen and SHA-256's eight, two to a number.
+_CARRIED = (DENSE + 8) // 2
+
+
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """One row for each document: its fingerprint, its edited text's, and the likenesses the contract asks for.
+    """One row for each row of docs (doc_id, text): its fingerprint, its edited text's, and the likenesses the contract asks for.
 
-    Null texts are empty; an empty table gives no rows; rows with a null doc_id have no place in the order and are left
-    out; a single document is its own successor.
+    Null texts are empty; an empty table gives no rows; a single document is its own successor. Rows without a doc_id come
+    after all others, rows that repeat an id stand next to one another. Texts of any length are hashed whole; one row's
+    text, the next one's and their words must fit into a task. Other columns of docs are not carried. ranges: into how
+    many parts the order is cut; it changes no result.
     """
-    n = ranges or max(64, min(16384, 4 * partitions(docs.sparkSession)))
+    n = ranges or max(64, min(4096, 4 * partitions(docs.sparkSession)))
     rows = with_next(docs, n)
     half = F.floor(F.length("text") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - half)
@@ -120,18 +129,22 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     sided = sided.filter(~F.col("guest") | (F.col("side") == 0))
     hexed = F.sha2(F.col("t"), 256)
     whole = F.concat(dense_lanes(F.col("t")), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexed, 8 * i + 1, F.lit(8)), 16, 10).cast("long")))
+    paired = lambda w: F.transform(F.sequence(F.lit(0), F.lit(_CARRIED - 1)), lambda i: F.shiftleft(F.get(w, 2 * i), 32).bitwiseOR(F.get(w, 2 * i + 1)))
     sided = sided.select("bucket", "rn", "doc_id", "guest", "side", F.length("t").cast("long").alias("n_chars"), whole.alias("w"), pair_hashes(F.col("t")).alias("hs"))
-    sided = sided.select("bucket", "rn", "doc_id", "guest", "side", "n_chars", *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(DENSE + 8)], F.explode_outer("hs").alias("h"))
+    sided = sided.withColumn("w", paired(F.col("w")))
+    own = ["doc_id", "guest", "n_chars", *[f"w{i}" for i in range(_CARRIED)]]
+    sided = sided.select("bucket", "rn", "side", *own[:3], *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(_CARRIED)], F.explode_outer("hs").alias("h"))
     two = (1 << 32) | 1
     # bits i and i + 32 of a hash in one sum: each half counts to 2^31
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(two))), F.lit(0).cast("long")).alias(f"c{i}") for i in range(32)]
     fixed = ["bucket", "rn", "side"]
     # rows are dealt by bucket already, so this needs no exchange
-    agg = sided.groupBy(*fixed).agg(*sums, F.count("h").alias("n"), *[F.max(c).alias(c) for c in ("doc_id", "guest", "n_chars", *[f"w{i}" for i in range(DENSE + 8)])])
+    agg = sided.groupBy(*fixed).agg(*sums, F.count("h").alias("n"), *[F.max(c).alias(c) for c in own])
     low, high = lambda c: F.col(c).bitwiseAND(F.lit(WORD)), lambda c: F.shiftrightunsigned(c, 32)
     sketch = F.array(*[low(f"c{i}") for i in range(32)], *[high(f"c{i}") for i in range(32)], F.col("n"))
-    dense, sha = F.array(*[F.col(f"w{i}") for i in range(DENSE)]), F.array(*[F.col(f"w{i}") for i in range(DENSE, DENSE + 8)])
-    flat = agg.select(*fixed, "doc_id", "guest", "n_chars", sketch.alias("sketch"), F.concat(_hex(dense), _hex(sketch)).alias("fp"), _hex(sha).alias("sha"))
+    words = F.array(*[part(f"w{i}") for i in range(_CARRIED) for part in (high, low)])
+    flat = agg.select(*fixed, "doc_id", "guest", "n_chars", sketch.alias("sketch"), words.alias("w"))
+    flat = flat.select(*fixed, "doc_id", "guest", "n_chars", "sketch", F.concat(_hex(F.slice("w", 1, DENSE)), _hex(F.col("sketch"))).alias("fp"), _hex(F.slice("w", DENSE + 1, 8)).alias("sha"))
     order = Window.partitionBy("bucket").orderBy("rn", "side")
     # side 1 of a row stands right after its side 0, then comes side 0 of the next row
     ahead = lambda c, k: F.lead(c, k).over(order)

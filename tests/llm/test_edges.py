@@ -161,7 +161,14 @@ def test_fingerprints(spark):
         assert rows[d]["edited_sha256"] == brute.sha(t[: len(t) - len(t) // 2] + u[: len(t) // 2])
     assert rows[17]["fingerprint"] == rows[18]["fingerprint"]
     out = fingerprint.fingerprints(bare(spark, more=MORE)).collect()
-    assert sorted(r["doc_id"] for r in out) == sorted([*range(len(TEXTS)), 3, 14])  # rows without an id have no place
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == sorted([*range(len(TEXTS)), 3, 14])
+    assert len(out) == len(TEXTS) + len(MORE)
+    # rows without an id come last: the first of them follows document 0, whose text is null, the last is followed by the highest id
+    none = [r for r in out if r["doc_id"] is None]
+    assert {r["n_chars"] for r in none} == {0, len(PASSAGE)}
+    hot = spark.createDataFrame([(7, f"p {i} q {i % 9}\nr") for i in range(300)] + [(i, f"o {i}") for i in range(60)], "doc_id long, text string")
+    got = [sorted((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprint.fingerprints(hot, ranges=k).collect()) for k in (1, 4, 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 360
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abc\nd")], "doc_id long, text string")).collect()
     assert one[0]["near_next"] == 1
     assert fingerprint.fingerprints(frame(spark).limit(0)).count() == 0
