@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,19 +35,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Runs, int]]:
     """Best-fit decreasing on counts of lengths: patterns and how many sequences follow each."""
     rooms: dict[int, list[tuple[Runs, int]]] = {}
     order: list[int] = []  # the rooms that have sequences, ascending
-    import bisect
 
     def put(room: int, runs: Runs, n: int) -> None:
         if n:
             if room not in rooms:
                 rooms[room] = []
-                bisect.insort(order, room)
+                insort(order, room)
             rooms[room].append((runs, n))
 
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            k = bisect.bisect_left(order, length)
+            k = bisect_left(order, length)
             if k == len(order):
                 break
             room = order[k]
@@ -83,22 +83,36 @@ def dominates(a: Runs, b: Runs) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], room: int, most: int = 12, steps: int = 3000) -> list[Runs]:
-    """Undominated fillings of the room, least waste first; the search looks at `steps` partial ones at most."""
+def fillings(counts: dict[int, int], room: int, slack: int, most: int | None = 12, steps: int | None = 3000) -> list[Runs]:
+    """Undominated fillings of the room that waste `slack` at most, least waste first.
+
+    most: how many come back; steps: how many partial ones are looked at (None: all).
+    """
     sizes = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    if not sizes:
+        return [()] if room <= slack else []
+    rest = [0]  # what the sizes from a place on hold together
+    for x in reversed(sizes):
+        rest.append(rest[-1] + x * counts[x])
+    rest.reverse()
+    rising = sizes[::-1]
     found: list[tuple[int, Runs]] = []
     stack: list[tuple[int, int, Runs]] = [(0, room, ())]
-    while stack and steps and len(found) < 4 * most:
+    steps = math.inf if steps is None else steps
+    while stack and steps > 0 and (most is None or len(found) < 4 * most):
         steps -= 1
         i, left, runs = stack.pop()
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
+        i = max(i, len(sizes) - bisect_right(rising, left))
+        if left - rest[i] > slack:
+            continue
         if i == len(sizes):
             found.append((left, runs))
-            if left == 0 and len(found) >= most:
-                break
             continue
         x = sizes[i]
+        if left < 2 * sizes[-1]:  # room for one more: the largest that fits dominates the others
+            if left - x <= slack:
+                found.append((left - x, (*runs, (x, 1))))
+            continue
         top = min(counts[x], left // x)
         stack += [(i + 1, left - k * x, (*runs, (x, k)) if k else runs) for k in range(top + 1)]
     found.sort(key=lambda f: (f[0], [(-x, -k) for x, k in f[1]]))
@@ -109,50 +123,103 @@ def fillings(counts: dict[int, int], room: int, most: int = 12, steps: int = 300
     return out[:most]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20000) -> list[tuple[Runs, int]]:
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The least number of sequences by area, with pieces that cannot share a sequence counted apart, at every threshold."""
+    sizes = sorted(x for x, n in counts.items() if n)
+    many = np.r_[0, np.cumsum([counts[x] for x in sizes])].astype(object)
+    area = np.r_[0, np.cumsum([x * counts[x] for x in sizes])].astype(object)
+    half = bisect_right(sizes, capacity // 2)
+    best = -(-int(area[-1]) // capacity)
+    for k in range(half + 1):  # pieces below the k-th size are left out
+        least = sizes[k] if k < half else capacity // 2
+        alone = max(half, bisect_right(sizes, capacity - least))  # from here on nothing that is left in fits beside
+        shared = area[half] - area[min(k, half)] - ((many[alone] - many[half]) * capacity - (area[alone] - area[half]))
+        best = max(best, int(many[-1] - many[half]) + max(0, -(-int(shared) // capacity)))
+    return best
+
+
+def complete(counts: dict[int, int], capacity: int, target: int, nodes: float, most: int | None, steps: int | None) -> tuple[list[tuple[Runs, int]] | None, float]:
+    """A packing into `target` sequences, or None; and the nodes that are left.
+
+    A node fills the sequence of the longest piece that is left. Each undominated filling is tried as often as it fits and
+    then once less, down to none, and is not tried again below for the same longest piece, since packings that have it
+    have been looked at. A branch whose waste goes beyond target x capacity is not entered.
+    """
+    left, used = dict(counts), 0
+    slack = target * capacity - sum(x * n for x, n in counts.items())
+
+    def options(banned: frozenset[Runs]) -> list[Runs]:
+        first = max(left)
+        others = dict(left)
+        others[first] -= 1
+        return [r for f in fillings(others, capacity - first, slack, most, steps) if (r := _merge(first, f)) not in banned]
+
+    def put(runs: Runs, n: int) -> None:
+        nonlocal slack, used
+        for x, k in runs:
+            left[x] = left.get(x, 0) - k * n
+            if not left[x]:
+                del left[x]
+        slack -= n * (capacity - sum(x * k for x, k in runs))
+        used += n
+
+    if slack < 0:
+        return None, nodes
+    frames: list[list] = [[options(frozenset()), 0, 0, frozenset(), max(left)]]  # options, which, how often, banned, the longest piece
+    while frames:
+        frame = frames[-1]
+        fills, at, n, banned, first = frame
+        if n:  # what it led to has been looked at: once less
+            put(fills[at], -1)
+            frame[2] = n = n - 1
+            if not n:
+                frame[1] = at = at + 1
+        if not n:
+            if at == len(fills):
+                frames.pop()
+                continue
+            runs = fills[at]
+            waste = capacity - sum(x * k for x, k in runs)
+            n = min([*(left.get(x, 0) // k for x, k in runs), *([slack // waste] if waste else [])])
+            if n <= 0:
+                frame[1] += 1
+                continue
+            put(runs, n)
+            frame[2] = n
+        nodes -= 1
+        if left and len(left) <= 512:  # best fit may already do for the rest
+            rest = best_fit(left, capacity)
+            if used + sum(k for _, k in rest) <= target:
+                return [*((f[0][f[1]], f[2]) for f in frames), *rest], nodes
+        if not left:
+            return [(f[0][f[1]], f[2]) for f in frames], nodes
+        if nodes <= 0:
+            return None, nodes
+        longest = max(left)
+        tried = banned | frozenset(fills[: frame[1] + 1]) if longest == first else frozenset()
+        frames.append([options(tried), 0, 0, tried, longest])
+    return None, nodes
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = 20000, most: int | None = 12, steps: int | None = 3000) -> list[tuple[Runs, int]]:
     """Patterns and multiplicities that hold all pieces in as few sequences as the search finds.
 
-    nodes bounds the branches tried; the incumbent stays if none beats it.
+    The incumbent is best fit's packing. Where the lower bound is below it, packings of that size are looked for, then
+    of one more, and so on. nodes: how many nodes in all; most and steps: see fillings. With all three None the
+    result is the least number of sequences, at any cost.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    total = sum(x * n for x, n in counts.items())
-    large = sum(n for x, n in counts.items() if 2 * x > capacity)
-    bound = max(-(-total // capacity), large)
     size = sum(n for _, n in best)
-    left, used, waste, trail = dict(counts), 0, 0, []
-    todo: list[list[Runs]] = []
-    while size > bound and nodes > 0:
-        allowed = (size - 1) * capacity - total
-        if not left:  # a packing that beats the incumbent
-            best, size = [(runs, n) for runs, n in trail], used
-            allowed = (size - 1) * capacity - total
-        if left and waste <= allowed and len(todo) == len(trail):
-            first = max(left)
-            rest = dict(left)
-            rest[first] -= 1
-            todo.append([_merge(first, f) for f in reversed(fillings(rest, capacity - first))])
-        if len(todo) > len(trail) and todo[-1] and waste <= allowed:
-            nodes -= 1
-            runs = todo[-1].pop()
-            n = min(left[x] // k for x, k in runs)
-            for x, k in runs:
-                left[x] -= k * n
-                if not left[x]:
-                    del left[x]
-            waste += n * (capacity - sum(x * k for x, k in runs))
-            used += n
-            trail.append((runs, n))
-            continue
-        if len(todo) > len(trail):
-            todo.pop()
-        if not trail:
-            break
-        runs, n = trail.pop()
-        for x, k in runs:
-            left[x] = left.get(x, 0) + k * n
-        waste -= n * (capacity - sum(x * k for x, k in runs))
-        used -= n
+    target, left = lower_bound(counts, capacity), math.inf if nodes is None else nodes
+    while target < size and left > 0:
+        # half of what is left for each size, so that larger ones get their turn
+        share = left if left == math.inf else max(1, left // 2)
+        found, over = complete(counts, capacity, target, share, most, steps)
+        left -= share - over if left != math.inf else 0
+        if found:
+            return found
+        target += 1
     return best
 
 
@@ -170,17 +237,34 @@ def _class(kind: str, top: int = 0x180) -> str:
 #: Texts beyond these characters, and such as hold special tokens, go to the tokenizer as they are.
 _ODD = re.compile("[İƀ-\U0010ffff\x1c-\x1f]|<\\|")
 _SPACE = "\\t-\\r \\x85\\xa0"
+_GAP = re.compile(f"[{_SPACE}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
 
 
+#: Texts longer than this are encoded in parts that end before white space.
+PART = 1 << 20
+
+
+def _parts(text: str, size: int) -> Iterator[str]:
+    at = 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer splits texts into words before it merges, so a word's ids are kept and looked up. Words that are new are
-    encoded together, and cut apart where a token ends a word. most: words kept before the memory starts anew.
+    encoded together, and cut apart where a token ends a word. Words are kept in two generations, so that frequent ones
+    stay when rare ones go. most: bytes for the words of both.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 64 << 20) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -192,7 +276,8 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.older: dict[str, bytes] = {}
+        self.size, self.most = 0, most
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -210,16 +295,44 @@ class Encoder:
                 self.known[word] = data[start:stop]
                 start = stop
 
+    def _part(self, text: str) -> bytes:
+        words = _WORDS.findall(text)
+        self._know(set(words))
+        out = b"".join(map(self.known.__getitem__, words))
+        self._turn()
+        return out
+
+    def _know(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        kept = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in kept)
+        self._learn(list(new - kept))
+        self.size += sum(map(len, new)) + 200 * len(new)  # about what words and their ids take
+
+    def _turn(self) -> None:
+        if 2 * self.size > self.most:
+            self.older, self.known, self.size = self.known, {}, 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _ODD.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        seen = set().union(*(ws for ws in words if ws))
-        new = seen.difference(self.known)
-        if len(new) + len(self.known) > self.most:
-            self.known.clear()
-            new = seen
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [self._slow(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        out: list[bytes | None] = [self._slow(t) if _ODD.search(t) else None for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        at = 0
+        while at < len(plain):
+            group, size = [], 0
+            while at < len(plain) and (not group or size + len(texts[plain[at]]) < PART):
+                group.append(plain[at])
+                size += len(texts[plain[at]])
+                at += 1
+            if len(group) == 1:
+                out[group[0]] = b"".join(map(self._part, _parts(texts[group[0]].lower(), PART)))
+                continue
+            words = [_WORDS.findall(texts[i].lower()) for i in group]
+            self._know(set().union(*words))
+            get = self.known.__getitem__
+            for i, ws in zip(group, words, strict=True):
+                out[i] = b"".join(map(get, ws))
+            self._turn()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -269,11 +382,13 @@ def _places(patterns: list[tuple[Runs, int]]) -> dict[str, np.ndarray]:
     return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(("key", "k", "base", "offset"))}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, nodes: int | None = 20000, most: int | None = 12, steps: int | None = 3000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs (doc_id, text).
 
-    Repeated rows and rows without an id are packed as often as they come; an empty table gives no rows. Other columns of
-    docs are not carried. The driver sees one counter for each length; the table of places that executors get has
+    nodes, most, steps: how far the search goes where best fit misses the lower bound (None: to the optimum).
+    Null and empty texts are one piece, the end id. Texts are encoded in parts of a million characters. Repeated rows and
+    rows without an id are packed as often as they come; an empty table gives no rows. Other columns of docs are not
+    carried. The driver sees one counter for each length; the table of places that executors get has
     at most a few rows for each of them.
     """
     spark = docs.sparkSession
@@ -281,7 +396,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     cut = spool(pieces(docs, tokenizer, capacity).withColumn("salt", salt_of(F.struct("doc_id", "piece"), salts)))
     tally = spool(cut.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(_places(bin_completion(counts, capacity)))
+    places = spark.sparkContext.broadcast(_places(bin_completion(counts, capacity, nodes, most, steps)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = tally.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
@@ -301,7 +416,3 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             )
 
     return ranked.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
-
-
-def lower_bound(total: int, capacity: int = CAPACITY) -> int:
-    return math.ceil(total / capacity)

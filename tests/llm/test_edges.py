@@ -3,6 +3,7 @@
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -202,10 +203,69 @@ def test_bin_completion(counts):
     assert sum(n for _, n in found) <= sum(n for _, n in packing.best_fit(counts, 30))
 
 
-def test_bin_completion_beats_best_fit():
-    counts = {6: 1, 5: 2, 4: 2, 3: 2, 2: 1}  # 6+4, 5+5 and 4+3+3 fill bins of ten
-    counts = {7: 1, 6: 1, 5: 2, 4: 1, 3: 1}
-    assert sum(n for _, n in packing.bin_completion(counts, 10)) == 3
+def test_bin_completion_finds_the_least_number():
+    """Against every way to fill sequences, on small tables."""
+
+    def least(items, capacity):
+        items, best = sorted(items, reverse=True), [len(items)]
+
+        def go(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for room in {r for r in rooms if r >= items[i]}:
+                k = rooms.index(room)
+                rooms[k] -= items[i]
+                go(i + 1, rooms)
+                rooms[k] += items[i]
+            go(i + 1, [*rooms, capacity - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    better = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        capacity = rng.choice([10, 20, 30])
+        items = [rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 5, capacity // 2) for _ in range(rng.randint(1, 12))]
+        counts = dict(Counter(items))
+        found = sum(n for _, n in packing.bin_completion(counts, capacity, None, None, None))
+        assert packing.lower_bound(counts, capacity) <= found == least(items, capacity)
+        better += found < sum(n for _, n in packing.best_fit(counts, capacity))
+    assert better > 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bin_completion_beats_best_fit(seed):
+    """Ten sequences that three pieces each fill to the last token: best fit needs more, the search does not."""
+    rng, counts = random.Random(seed), Counter()
+    for _ in range(10):
+        a = rng.randint(1040, 1800)
+        b = rng.randint(1040, 4096 - a - 1030)
+        counts.update([a, b, 4096 - a - b])
+    assert sum(n for _, n in packing.best_fit(counts, 4096)) > 10
+    assert sum(n for _, n in packing.bin_completion(counts)) == 10
+
+
+def test_word_memory():
+    """Ids do not depend on what is kept, nor on where a long text is cut."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(BPE), random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdeé1'.") for _ in range(rng.randint(1, 9))) for _ in range(300)) for _ in range(40)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    coder = packing.Encoder(BPE, most=50_000)
+    assert [coder.encode([x])[0] for x in texts] == want == coder.encode(texts)
+    before = packing.PART
+    try:
+        packing.PART = 100
+        assert coder.encode(texts) == want
+    finally:
+        packing.PART = before
+    long = "x" * 1_000_000 + " " + "y z" * 300_000
+    assert packing.Encoder(BPE).encode([long])[0] == np.array(t.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_pieces(spark):
