@@ -133,7 +133,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     sided = sided.select("bucket", "rn", "doc_id", "guest", "side", F.length("t").cast("long").alias("n_chars"), whole.alias("w"), pair_hashes(F.col("t")).alias("hs"))
     sided = sided.withColumn("w", paired(F.col("w")))
     own = ["doc_id", "guest", "n_chars", *[f"w{i}" for i in range(_CARRIED)]]
-    sided = sided.select("bucket", "rn", "side", *own[:3], *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(_CARRIED)], F.explode_outer("hs").alias("h"))
+    sided = sided.select("bucket", "rn", "side", *own[:3], *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(_CARRIED)], "hs")
+    sided = sided.select("bucket", "rn", "side", *own, F.explode_outer("hs").alias("h"))
     two = (1 << 32) | 1
     # bits i and i + 32 of a hash in one sum: each half counts to 2^31
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(two))), F.lit(0).cast("long")).alias(f"c{i}") for i in range(32)]
