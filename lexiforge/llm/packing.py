@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import partitions, salt_of, spool
+from lexiforge.llm.words import WordMemory
 
 CAPACITY, END = 4096, 1
 Runs = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -241,27 +242,11 @@ _GAP = re.compile(f"[{_SPACE}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
 
 
-#: Texts longer than this are encoded in parts that end before white space.
-PART = 1 << 20
-
-
-def _parts(text: str, size: int) -> Iterator[str]:
-    at = 0
-    while len(text) - at > size:
-        gap = _GAP.search(text, at + size)
-        if not gap:
-            break
-        yield text[at : gap.start()]
-        at = gap.start()
-    yield text[at:] if at else text
-
-
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer splits texts into words before it merges, so a word's ids are kept and looked up. Words that are new are
-    encoded together, and cut apart where a token ends a word. Words are kept in two generations, so that frequent ones
-    stay when rare ones go. most: bytes for the words of both.
+    encoded together, and cut apart where a token ends a word. most: bytes for the words that are kept.
     """
 
     def __init__(self, path: str, most: int = 64 << 20) -> None:
@@ -275,64 +260,30 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.size, self.most = 0, most
+        self.memory = WordMemory(self._learn, most)
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # never seen; each word by itself then
-                self.known.update((w, self._slow(w)) for w in part)
+                out.update((w, self._slow(w)) for w in part)
                 continue
             data, start = ids.tobytes(), 0
             for word, stop in zip(part, (cuts * 4).tolist(), strict=True):
-                self.known[word] = data[start:stop]
+                out[word] = data[start:stop]
                 start = stop
-
-    def _part(self, text: str) -> bytes:
-        words = _WORDS.findall(text)
-        self._know(set(words))
-        out = b"".join(map(self.known.__getitem__, words))
-        self._turn()
         return out
 
-    def _know(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        kept = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in kept)
-        self._learn(list(new - kept))
-        self.size += sum(map(len, new)) + 200 * len(new)  # about what words and their ids take
-
-    def _turn(self) -> None:
-        if 2 * self.size > self.most:
-            self.older, self.known, self.size = self.known, {}, 0
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [self._slow(t) if _ODD.search(t) else None for t in texts]
-        plain = [i for i, x in enumerate(out) if x is None]
-        at = 0
-        while at < len(plain):
-            group, size = [], 0
-            while at < len(plain) and (not group or size + len(texts[plain[at]]) < PART):
-                group.append(plain[at])
-                size += len(texts[plain[at]])
-                at += 1
-            if len(group) == 1:
-                out[group[0]] = b"".join(map(self._part, _parts(texts[group[0]].lower(), PART)))
-                continue
-            words = [_WORDS.findall(texts[i].lower()) for i in group]
-            self._know(set().union(*words))
-            get = self.known.__getitem__
-            for i, ws in zip(group, words, strict=True):
-                out[i] = b"".join(map(get, ws))
-            self._turn()
-        return out
+        odd = [bool(_ODD.search(t)) for t in texts]
+        plain = iter(self.memory.encode([t.lower() for t, o in zip(texts, odd, strict=True) if not o], _WORDS.findall, _GAP))
+        return [self._slow(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
 
 
 @lru_cache(maxsize=1)

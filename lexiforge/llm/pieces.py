@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding (byte-pair models) by suffix-array matching.
 
-No piece crosses the start of a word, so a text's ids are those of its words, and words are encoded once. The new words of a
-batch are concatenated and indexed by a suffix array; binary search finds each piece's range of occurrences; the occurrences are
-the edges of the lattice, sorted by position; and the edges are relaxed: of a word's adjacent symbols, those whose union is
-the edge of the best score (then the leftmost) are joined, until no edge joins two. All words are relaxed together.
+Where no piece of a model crosses the start of a word (checked as it is read), a text's ids are those of its words, and words
+are encoded once; otherwise a text is one word. The new words of a batch are concatenated and indexed by a suffix array;
+binary search finds each piece's range of occurrences; the occurrences are the edges of the lattice, sorted by position; and the
+edges are relaxed: of a word's adjacent symbols, those whose union is the edge of the best score (then the leftmost) are
+joined, until no edge joins two. Short words are relaxed together, long ones by a heap each.
 """
 
 from __future__ import annotations
@@ -12,24 +13,29 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexiforge.llm.suffix_dedup import suffix_array
+from lexiforge.llm.words import WordMemory
 
 MARK = "▁"
-_WORDS = re.compile(" *[^ ]+| +")
+_WORDS, _GAP, _NEVER = re.compile(" *[^ ]+| +"), re.compile("(?<! ) "), re.compile("(?!)")
+#: Words of more symbols are relaxed by a heap.
+LONG = 48
 codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 
 
 class Pieces:
-    """The pieces of a model file, and the ids of the words seen so far. most: words kept before the memory starts anew."""
+    """The pieces of a model file, and the ids of words seen so far. most: bytes for the words that are kept."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 64 << 20) -> None:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,11 +54,12 @@ class Pieces:
         self.rank = np.unique(-score, return_inverse=True)[1]  # 0 is the best score; equal scores share a rank
         self.surface = [b"" if m.is_control(i) else " ⁇ ".encode() if m.is_unknown(i) else bytes([i - self.bytes_at]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.marked = [x[:1] == b" " and not m.is_byte(i) and not m.is_unknown(i) for i, x in enumerate(self.surface)]
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        # whether a mark stands behind another character in some piece
+        self.crosses = any(MARK in m.id_to_piece(i).lstrip(MARK) for i in plain)
+        self.memory = WordMemory(self._learn, most)
 
     def _occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges sorted by position: keys (position * 256 + length) and piece ids."""
+        """Edges sorted by position: keys (position * (longest piece + 1) + length) and piece ids."""
         sa, _ = suffix_array(text)
         padded = np.r_[text, np.zeros(self.wide, np.uint8)]
         rows = np.lib.stride_tricks.as_strided(padded, (len(text) + 1, self.wide), (1, 1))
@@ -72,23 +79,68 @@ class Pieces:
             ends.append(low)
         many = ends[1] - ends[0]
         at = sa[np.repeat(ends[0] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
-        key, ids = at * 256 + np.repeat(self.lengths, many), np.repeat(self.ids, many)
+        key, ids = at * (self.wide + 1) + np.repeat(self.lengths, many), np.repeat(self.ids, many)
         order = np.argsort(key, kind="stable")
         return key[order], ids[order]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words (blanks as marks) and keep their ids."""
+    def _relax(self, stop: np.ndarray, start: np.ndarray, rank: np.ndarray, keys: memoryview, ranks: memoryview) -> tuple[np.ndarray, np.ndarray]:
+        """Join the symbols of one word, the best score first, then the leftmost; a heap holds the pairs."""
+        n, none = len(start), np.iinfo(np.int64).max
+        begin, end, now = start.tolist(), stop.tolist(), rank.tolist()
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [r * n + i for i, r in enumerate(now) if r != none]
+        heapify(heap)
+
+        def look(i: int) -> None:
+            """The rank of joining symbol i with the next, from the sorted edges."""
+            now[i] = none
+            if (j := after[i]) >= 0 and (size := end[j] - begin[i]) <= self.wide:
+                want = begin[i] * (self.wide + 1) + size
+                at = bisect_left(keys, want)
+                if at < len(keys) and keys[at] == want:
+                    now[i] = ranks[at]
+                    heappush(heap, now[i] * n + i)
+
+        while heap:
+            r, i = divmod(heappop(heap), n)
+            if now[i] != r:
+                continue  # one of the two has changed since
+            j = after[i]
+            end[i], after[i], now[j] = end[j], after[j], none
+            if after[i] >= 0:
+                before[after[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        kept, i = [], 0
+        while i >= 0:
+            kept.append(i)
+            i = after[i]
+        return np.array([begin[i] for i in kept]), np.array([end[i] for i in kept])
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encode words (blanks as marks), about a megabyte at a time."""
+        out, part, size = {}, [], 0
+        for w in words:
+            part.append(w)
+            size += len(w)
+            if size > 1 << 20:
+                out |= self._encode(part)
+                part, size = [], 0
+        return out | self._encode(part) if part else out
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
         data = [w.replace(" ", MARK).encode("utf-8", "replace") for w in words]
         text = np.frombuffer(b"\0".join(data), np.uint8)
         keys, ids = self._occurrences(text)
-        none = np.iinfo(np.int64).max
+        none, unit = np.iinfo(np.int64).max, self.wide + 1
 
         def edge(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
             """The piece from start to stop, or -1."""
             size = stop - start
-            want = start * 256 + np.minimum(size, 255)
+            want = start * unit + np.minimum(size, self.wide)
             at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-            return np.where((keys[at] == want) & (size < 256), ids[at], -1) if len(keys) else np.full(len(start), -1)
+            return np.where((keys[at] == want) & (size <= self.wide), ids[at], -1) if len(keys) else np.full(len(start), -1)
 
         def merge(start: np.ndarray, stop: np.ndarray, word: np.ndarray) -> np.ndarray:
             """The rank of joining each symbol with the next of its word."""
@@ -108,6 +160,16 @@ class Pieces:
         word = np.searchsorted(base, start, "right") - 1
         rank = merge(start, stop, word)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        many = np.bincount(word, minlength=len(words))
+        if (many > LONG).any():
+            ranks = memoryview(self.rank[ids])
+            first = np.cumsum(many) - many
+            for w in np.flatnonzero(many > LONG):
+                at = slice(first[w], first[w] + many[w])
+                a, b = self._relax(stop[at], start[at], rank[at], memoryview(keys), ranks)
+                done.append((a, b, np.full(len(a), w)))
+            short = many[word] <= LONG
+            start, stop, word, rank = start[short], stop[short], word[short], rank[short]
         while len(start):
             heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, heads)
@@ -131,7 +193,7 @@ class Pieces:
                 found = np.where((word[k1] == word[k]) & (k1 > k), edge(start[k], stop[k1]), -1)
                 rank[k] = np.where(found >= 0, self.rank[found], none)
         if not done:
-            return
+            return {}
         start, stop, word = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(start, kind="stable")
         start, stop, word = start[order], stop[order], word[order]
@@ -143,28 +205,14 @@ class Pieces:
         out = np.where(found[at] >= 0, found[at], self.bytes_at + text[start[at] + nth].astype(np.int64)).astype("<u4")
         cuts = np.searchsorted(word[at], np.arange(len(words) + 1)) * 4
         raw, cuts = out.tobytes(), cuts.tolist()
-        for w, a, b in zip(words, cuts, cuts[1:], strict=False):
-            self.known[w] = raw[a:b]
+        return {w: raw[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+
+    def _split(self, text: str) -> list[str]:
+        return [text] if self.crosses else _WORDS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [_WORDS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        seen = set().union(*words)
-        new = seen.difference(self.known)
-        if len(new) + len(self.known) > self.most:
-            self.known.clear()
-            new = seen
-        part, size = [], 0
-        for w in new:
-            part.append(w)
-            size += len(w)
-            if size > 1 << 20:
-                self._learn(part)
-                part, size = [], 0
-        if part:
-            self._learn(part)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        return self.memory.encode([" " + t.replace(MARK, " ") if t else "" for t in texts], self._split, _NEVER if self.crosses else _GAP)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each. The blank that encoding puts in front is taken off."""
@@ -181,7 +229,8 @@ def model(path: str) -> Pieces:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 and decoded_sha256 for each row of docs (doc_id, text), over whole texts.
 
-    Null and empty texts have no ids. Repeated rows come back as often as they came; an empty table gives no rows. Other
+    Null and empty texts have no ids. Texts longer than a million characters are encoded in parts, words of any length in
+    time that grows little faster than they. Repeated rows come back as often as they came; an empty table gives no rows. Other
     columns are not carried. decoded_sha256 is of the text that the ids decode to.
     """
 

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from lexiforge.llm import fingerprint, language, line_dedup, neighbours, packing, pieces, quality, sharding, simhash, suffix_dedup
+from lexiforge.llm import fingerprint, language, line_dedup, neighbours, packing, pieces, quality, sharding, simhash, suffix_dedup, words
 
 BPE, SP = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PASSAGE = " ".join(f"passage{i * 7919 % 1000}" for i in range(60))
@@ -268,12 +268,12 @@ def test_word_memory():
     want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
     coder = packing.Encoder(BPE, most=50_000)
     assert [coder.encode([x])[0] for x in texts] == want == coder.encode(texts)
-    before = packing.PART
+    before = words.PART
     try:
-        packing.PART = 100
+        words.PART = 100
         assert coder.encode(texts) == want
     finally:
-        packing.PART = before
+        words.PART = before
     long = "x" * 1_000_000 + " " + "y z" * 300_000
     assert packing.Encoder(BPE).encode([long])[0] == np.array(t.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -296,6 +296,41 @@ def test_pieces(spark):
         assert m.decode(ids) == sp.decode(ids)
 
 
+def test_pieces_of_long_words():
+    """One word of a million characters, in seconds; long words of every kind against the library."""
+    import sentencepiece
+
+    sp, m, rng = sentencepiece.SentencePieceProcessor(model_file=SP), pieces.Pieces(SP, most=20_000), random.Random(8)
+    some = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(3000)), "a" * 5000, "ab" * 3000, "the" * 2000, "é" * 999, "=-" * 700,
+        "".join(rng.choice("etaoinshrdlu") for _ in range(9000)), " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 120))) for _ in range(400)),
+    ]
+    for t, ids in zip(some, m.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t, num_threads=1), t[:30]
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    start = time.perf_counter()
+    ids = m.encode([long])[0]
+    assert time.perf_counter() - start < 60
+    assert np.frombuffer(ids, "<u4").tolist() == sp.encode(long, num_threads=1)
+    before = words.PART
+    try:
+        words.PART = 100
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(some)] == [sp.encode(t, num_threads=1) for t in some]
+    finally:
+        words.PART = before
+
+
+def test_pieces_that_cross_words():
+    """A model whose pieces cross words has no words; the result is the same for one that does not need it."""
+    import sentencepiece
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=SP), pieces.Pieces(SP)
+    assert not m.crosses
+    m.crosses = True
+    for t in ("a b  c", "the quick brown fox " * 40, " x", "\n\n"):
+        assert np.frombuffer(m.encode([t])[0], "<u4").tolist() == sp.encode(t, num_threads=1)
+
+
 def test_language(spark):
     docs = frame(spark, [*TEXTS, *["der hund und die katze"] * 20, *["le chien et la souris"] * 20]).drop("lang")
     from pyspark.sql import functions as F
