@@ -398,9 +398,26 @@ def test_neighbours(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(spark.createDataFrame(rows, kind)).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)]
     assert neighbours.nearest(spark.createDataFrame([], kind)).count() == 0
+    more = spark.createDataFrame(rows, kind).selectExpr("*", "1 AS rank", "2 AS score", "3 AS dim", "4 AS block")
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(more).orderBy("query_id", "rank").collect()] == got
     assert neighbours.nearest(spark.createDataFrame([(0, [1.0], 1)], kind)).count() == 0
 
 
+def test_windows_count_each_entry_once():
+    """The candidates are those that collide on enough lines in the window that is reached."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    v /= np.sqrt((v**2).sum(1, keepdims=True))
+    index = neighbours.CollisionIndex(v, 1.0, 40)
+    shadows, at = np.c_[v, np.zeros(len(v))] @ index.lines, np.c_[v[:20], np.zeros(20)] @ index.lines
+    for q, found in enumerate(index.candidates(v[:20], 60, 0.5)):
+        for step in range(100):
+            hit = (np.abs(shadows - at[q]) <= 0.6 * 1.1**step).sum(1) >= 20
+            if hit.sum() >= 60:
+                break
+        assert set(found) == set(np.flatnonzero(hit))
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stages_on_odd_tables(spark, stage, sf_dir):
     import corpus_pipeline as p
