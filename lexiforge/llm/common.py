@@ -68,14 +68,15 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 
 
 def least_by_hash(rows: DataFrame, group: str, hashed: Column, k: int) -> DataFrame:
-    """A bounded draw: about the 4 k rows of each group with the least hash, or all rows of a smaller group.
+    """A bounded draw: the rows of about the 4 k least hashes of each group, or all rows of a smaller group.
 
-    hashed is an even 64-bit hash. Groups are few (labels): their counts are broadcast. Each task drops what lies
-    above its group's threshold, so what is left does not grow with the table.
+    hashed is an even 64-bit hash. Groups are few (labels): their counts of distinct hashes are broadcast. Each task drops
+    what lies above its group's threshold, so what is left does not grow with the table, but for rows of equal hash.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    (n_at,) = fresh(rows.columns, "n")
+    counts = rows.groupBy(group).agg(F.approx_count_distinct(hashed).alias(n_at))
     part = hashed / F.lit(2.0**64) + 0.5
-    return rows.join(F.broadcast(counts), group).filter(part * F.col("__n") <= 4 * k).drop("__n")
+    return rows.join(F.broadcast(counts), group).filter(part * F.col(n_at) <= 4 * k).drop(n_at)
 
 
 def salt_of(column: Column, n: int) -> Column:

@@ -2,10 +2,12 @@
 
 For each language a byte context tree of variable order (up to three bytes) is counted on a bounded sample of labelled
 documents and then frozen. In a context, seen symbols share T / (T + D) of the probability by their counts and the
-escape D / (T + D) passes to the next shorter context, over the symbols not seen here (T: count, D: distinct symbols).
-A text's exact code length under each language is the sum over all its bytes; the shortest wins. Contexts are held
-once for all languages: the last three bytes give the row of the longest context in the tree, and the row gives the
-code length of each symbol in each language.
+escape D / (T + D) passes to the next shorter context, over the symbols not seen here (T: count, D: distinct symbols);
+below the empty context all 256 bytes are alike. A text's exact code length under each language is the sum over all
+its bytes; the shortest wins. Contexts are held once for all languages: the last two bytes lead to a node, the third
+to one of the node's children if it has any, that is to the row of the longest context in the tree; and the row
+gives the code length of each symbol in each language. Bytes that the sample never holds have equal probabilities in
+every context, so one column stands for each of them.
 """
 
 from __future__ import annotations
@@ -19,23 +21,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.llm.arrow_text import raw
-from lexiforge.llm.common import least_by_hash
+from lexiforge.llm.common import fresh, least_by_hash
 
-SYMBOLS, ROWS, CHUNK = 96, 8192, 1 << 19
+CHUNK = 1 << 19
 
 
-def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang and text of up to per_language documents of each language: those of at most 32 KB first, then by the id's hash."""
-    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = rows.select("doc_id", "lang", (F.octet_length("text") > 32768).alias("long"), F.xxhash64("doc_id", F.lit(5)).alias("u"))
-    drawn = least_by_hash(ids.withColumn("group", F.struct("lang", "long")), "group", F.col("u"), per_language)
-    order = Window.partitionBy("lang").orderBy("long", "u", "doc_id")
-    ids = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    return rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").orderBy("lang", F.xxhash64("text"))
-
+def sample(docs: DataFrame, per_language: int, most_bytes: int) -> DataFrame:
+    """lang and text of up to per_language distinct rows of each language, most_bytes together: short texts first, then by a hash.
 
-def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int = ROWS, least: int = 6) -> dict:
-    """The frozen trees of the languages; least: the count from which a context is kept."""
+    A text that alone has more than most_bytes is learned from as far as they go.
+    """
+    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("lang", (F.octet_length("text") > 32768).alias("long"), F.xxhash64("doc_id", "text").alias("u"), "text")
+    drawn = least_by_hash(rows.withColumn("group", F.struct("lang", "long")), "group", F.col("u"), per_language)
+    # rows that repeat are one: partial sums come first, so a row with very many copies is one of each task
+    drawn = drawn.groupBy("lang", "long", "u").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("long", "u")
+    before = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumns({"r": F.row_number().over(order), "before": before}).filter((F.col("r") <= per_language) & (F.col("before") < most_bytes))
+    return drawn.select("lang", F.substring("text", 1, most_bytes).alias("text")).orderBy("lang", "r")
+
+
+def fit(langs: list[str], texts: list[str], rows: int | None = 8192, least: int = 6) -> dict:
+    """The frozen trees of the languages. rows: how many contexts are kept, the most frequent ones (None: all); least: the count from which one is kept."""
     names = sorted(set(langs))
     which = {x: i for i, x in enumerate(names)}
     parts = [np.frombuffer(b"\n\n\n" + text.encode("utf-8", "replace"), np.uint8) for text in texts]
@@ -45,10 +53,13 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
     inner[(heads[:, None] + np.arange(3)).ravel()] = False
     data = np.concatenate(parts)
     del parts
-    often = np.argsort(-np.bincount(data, minlength=256), kind="stable")[: symbols - 1]
-    sym = np.full(256, symbols - 1, np.min_scalar_type(symbols))
-    sym[often] = np.arange(len(often))
-    s, n_lang = sym[data], len(names)
+    seen = np.flatnonzero(np.bincount(data, minlength=256))
+    symbols, n_lang = len(seen) + 1, len(names)
+    sym = np.full(256, len(seen), np.int32)
+    sym[seen] = np.arange(len(seen))
+    stands_for = np.ones(symbols)  # how many bytes a column stands for
+    stands_for[-1] = 256 - len(seen)
+    s = sym[data].astype(np.uint16)
     del data
 
     def slices(order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,45 +72,59 @@ def fit(langs: list[str], texts: list[str], symbols: int = SYMBOLS, rows: int =
                 ctx = ctx * symbols + s[at - back]
             yield ctx, s[at].astype(np.int64) * n_lang + owner[at]
 
-    index, blocks, base = [], [], 0
+    kept: list[np.ndarray] = []  # the contexts of each order, ascending
+    blocks: list[np.ndarray] = []
+    bases = [0]
     for order in range(4):
-        many = np.zeros(symbols**order, np.int64)
-        for ctx, _ in slices(order):
-            many += np.bincount(ctx, minlength=len(many))
-        kept = np.flatnonzero(many >= (least if order else 0))
-        if order and len(kept) > rows - base:
-            kept = np.sort(kept[np.argsort(-many[kept], kind="stable")[: max(0, rows - base)]])
-        place = np.full(len(many), -1, np.int64)
-        place[kept] = np.arange(len(kept))
-        counts = np.zeros(len(kept) * symbols * n_lang, np.float32)
-        for ctx, what in slices(order):
-            row = place[ctx]
-            on = row >= 0
+        found = [np.unique(ctx, return_counts=True) for ctx, _ in slices(order)]
+        ctx, at = np.unique(np.concatenate([c for c, _ in found] or [np.zeros(0, np.int64)]), return_inverse=True)
+        many = np.bincount(at, np.concatenate([m for _, m in found] or [np.zeros(0)]), len(ctx)) if len(ctx) else np.zeros(0)
+        if order:
+            on = (many >= least) & np.isin(ctx % symbols ** (order - 1), kept[-1])  # a context's shorter one is kept, too
+            ctx, many = ctx[on], many[on]
+            if rows is not None and len(ctx) > rows - bases[-1]:
+                ctx = np.sort(ctx[np.argsort(-many, kind="stable")[: max(0, rows - bases[-1])]])
+        else:
+            ctx = np.zeros(1, np.int64)
+        counts = np.zeros(len(ctx) * symbols * n_lang, np.float32)
+        for where, what in slices(order):
+            row = np.minimum(np.searchsorted(ctx, where), max(0, len(ctx) - 1))
+            on = ctx[row] == where if len(ctx) else np.zeros(len(where), bool)
             cell, more = np.unique(row[on] * (symbols * n_lang) + what[on], return_counts=True)
             counts[cell] += more
         counts = counts.reshape(-1, symbols, n_lang)
         if order == 0:
-            shorter = np.full((1, symbols, n_lang), 1 / symbols, np.float32)
-            full = np.zeros(1, np.int64)
+            shorter = np.full((1, symbols, n_lang), 1 / 256)
         else:
-            suffix = kept % (symbols ** (order - 1))
-            shorter = np.concatenate(blocks)[index[-1][suffix]]
-            full = index[-1][np.arange(symbols**order) % (symbols ** (order - 1))].copy()
-            full[kept] = base + np.arange(len(kept))
+            shorter = blocks[-1][np.searchsorted(kept[-1], ctx % symbols ** (order - 1))]
         total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
         unseen = np.where(counts > 0, 0, shorter)
-        rest = unseen.sum(1, keepdims=True)
+        rest = (unseen * stands_for[:, None]).sum(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
-            escape = np.where(rest > 0, distinct / (total + distinct), 0).astype(np.float32)
+            escape = np.where(rest > 0, distinct / (total + distinct), 0)
             unseen *= escape / rest
             p = np.where(counts > 0, counts * ((1 - escape) / total), unseen)
         np.copyto(p, shorter, where=total == 0)
         blocks.append(p)
-        del counts, shorter, unseen, p, place
-        index.append(full)
-        base += len(kept)
-    cost = -np.log2(np.maximum(np.concatenate(blocks), 1e-12)).reshape(-1, n_lang).astype(np.float32)
-    return {"names": names, "sym": sym.astype(np.int32), "index": index[3].astype(np.int32), "cost": cost, "symbols": symbols}
+        kept.append(ctx)
+        bases.append(bases[-1] + len(ctx))
+    cost = -np.log2(np.maximum(np.concatenate(blocks), 1e-30)).reshape(-1, n_lang).astype(np.float32)
+
+    def rows_of(order: int, ctx: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        if not len(kept[order]):
+            return otherwise
+        at = np.minimum(np.searchsorted(kept[order], ctx), len(kept[order]) - 1)
+        return np.where(kept[order][at] == ctx, bases[order] + at, otherwise)
+
+    pair = np.arange(symbols * symbols)
+    row = rows_of(2, pair, rows_of(1, pair % symbols, np.zeros(len(pair), np.int64)))
+    parents, nth = np.unique(kept[3] % symbols**2, return_inverse=True)
+    step = np.zeros(len(pair), np.int32)  # 1 for the pairs that have children, one cell for each symbol
+    step[parents] = 1
+    first = np.cumsum(np.where(step, symbols, 1)) - np.where(step, symbols, 1)
+    cells = np.repeat(row, np.where(step, symbols, 1))
+    cells[first[parents[nth]] + kept[3] // symbols**2] = bases[3] + np.arange(len(kept[3]))
+    return {"names": names, "sym": sym, "first": first.astype(np.int32), "step": step, "cells": cells.astype(np.int32), "cost": cost, "symbols": symbols}
 
 
 def code_lengths(buf: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
@@ -120,7 +145,8 @@ def code_lengths(buf: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarra
                 at = heads + step - start
                 at = at[(at >= 0) & (at < stop - start)]
                 c[2 - back][at] = pad
-        row = model["index"][(c[0] * k + c[1]) * k + c[2]]
+        pair = c[1] * k + c[2]
+        row = model["cells"][model["first"][pair] + model["step"][pair] * c[0]]
         bits = model["cost"][row * k + s[3:]]
         cuts = np.maximum(offsets[first:last], start) - start
         has = np.flatnonzero(np.minimum(offsets[first + 1 : last + 1], stop) - start > cuts)
@@ -133,18 +159,20 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs' columns and lang_pred and score (the posterior under equal priors); docs needs a column text.
 
     Null texts, texts without a letter, and all texts if nothing was learned get `und` and score 0. Ties go to the
-    name that sorts first. Columns of docs named lang_pred or score are replaced.
+    name that sorts first. Texts of any length are read half a megabyte at a time. Columns of docs named lang_pred or
+    score are replaced, others pass through. Rows that repeat come back as often; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
-    docs = docs.withColumn("__letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    kept = [f for f in docs.schema.fields if f.name != "__letters"]
+    (letters_at,) = fresh(docs.columns, "letters")
+    docs = docs.withColumn(letters_at, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    kept = [f for f in docs.schema.fields if f.name != letters_at]
     out_type = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for x in batches:
-            letters = x.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = x.column(letters_at).to_numpy(zero_copy_only=False).astype(bool)
             names, score = np.full(len(x), "und", object), np.zeros(len(x))
             if m is not None and len(x):
                 bits = code_lengths(*raw(x.column("text")), m)
@@ -158,7 +186,11 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.mapInArrow(run, out_type)
 
 
-def learn(docs: DataFrame, per_language: int = 600) -> dict | None:
-    """Fit on a bounded sample of docs (columns doc_id, text, lang)."""
-    got = sample(docs, per_language).collect()  # at most per_language texts for each language
-    return fit([r["lang"] for r in got], [r["text"] for r in got]) if got else None
+def learn(docs: DataFrame, per_language: int = 600, most_bytes: int = 8 << 20, rows: int | None = 8192, least: int = 6) -> dict | None:
+    """Fit on a bounded sample of docs (columns doc_id, text, lang); None if no row has text, language and id.
+
+    per_language, most_bytes: rows and bytes for each language; rows, least: which contexts the trees keep (see fit). Rows
+    that repeat count once.
+    """
+    got = sample(docs, per_language, most_bytes).collect()  # at most per_language texts and about most_bytes for each language
+    return fit([r["lang"] for r in got], [r["text"] for r in got], rows, least) if got else None

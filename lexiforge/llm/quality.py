@@ -109,28 +109,35 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200, most_bytes: int = 65536) -> dict | None:
-    """Fit on up to per_class documents of each quality, by hash, of texts up to most_bytes; None without both classes.
+    """Fit on up to per_class documents of each quality, by a hash of the id, of texts up to most_bytes; None without both classes.
 
-    docs: doc_id, text; labels: doc_id, quality. The prior comes from the counts of all labels given.
+    docs: doc_id, text; labels: doc_id, quality. The prior comes from the counts of all labels given. Of rows that repeat
+    an id one text counts, of labels that do the better one.
     """
     labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes).join(labels, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    rows = texts.select("doc_id").join(labels, "doc_id").select("doc_id", "quality", F.xxhash64("doc_id", F.lit(7)).alias("u"))
+    drawn = least_by_hash(rows, "quality", F.col("u"), per_class).distinct()
     rank = F.row_number().over(Window.partitionBy("quality").orderBy("u", "doc_id"))
-    drawn = least_by_hash(rows.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(7)).alias("u")).distinct(), "quality", F.col("u"), per_class)
     ids = drawn.withColumn("r", rank).filter(F.col("r") <= per_class).select("doc_id", "quality", "r")
-    got = docs.join(F.broadcast(ids), "doc_id").orderBy("r", "quality", F.xxhash64("text")).collect()  # at most 2 x per_class texts
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("r").alias("r"), F.min("quality").alias("quality"), F.min("text").alias("text"))
+    got = one.orderBy("r", "quality").collect()  # at most 2 x per_class texts of most_bytes
     share = labels.agg(F.avg("quality")).first()[0]
     y = np.array([r["quality"] for r in got], float)
     if not len(got) or y.min() == y.max():
         return None
-    model = fit([(r["text"] or "").encode("utf-8", "replace") for r in got], y)
+    model = fit([r["text"].encode("utf-8", "replace") for r in got], y)
     # trained on even classes; the offset brings back the share of good labels
     model["base"] = model["base"] + np.float32(np.log(share / (1 - share)))
     return model
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs' columns and score, from the column text alone; null texts are empty. Without a model every score is 0.5."""
+    """docs' columns and score, from the column text alone; null texts are empty. Without a model every score is 0.5.
+
+    Whole texts of any length are looked at, a bounded number of chunks at a time. Rows that repeat come back as often; an
+    empty table gives no rows. A column of docs named score is replaced, others pass through.
+    """
     docs = docs.drop("score")
     out_type = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

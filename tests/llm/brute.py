@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -96,3 +98,70 @@ def check_packing(rows: list[dict], ids: dict[int, list[int]], capacity: int = 4
             at += length
         assert at <= capacity
     return len(by)
+
+
+def code_length(langs: list[str], texts: list[str], least: int, lang: str, text: bytes) -> float:
+    """Bits of the text under the language's trees, by recursion over contexts."""
+    data = [(x, b"\n\n\n" + t.encode()) for x, t in zip(langs, texts, strict=True)]
+    counts = defaultdict(Counter)  # context and language: how often each byte follows
+    every = Counter()
+    for x, d in data:
+        for i in range(3, len(d)):
+            for order in range(4):
+                counts[d[i - order : i], x][d[i]] += 1
+                every[d[i - order : i]] += 1
+
+    @lru_cache(maxsize=None)
+    def p(ctx: bytes, b: int) -> float:
+        seen = counts[ctx, lang]
+        shorter = (lambda c: p(ctx[1:], c)) if ctx else (lambda c: 1 / 256)
+        total, distinct = sum(seen.values()), len(seen)
+        if not total:
+            return shorter(b)
+        rest = left(ctx)
+        escape = distinct / (total + distinct) if rest > 0 else 0
+        return seen[b] / total * (1 - escape) if b in seen else escape * shorter(b) / rest
+
+    @lru_cache(maxsize=None)
+    def left(ctx: bytes) -> float:
+        return sum(p(ctx[1:], c) if ctx else 1 / 256 for c in range(256) if c not in counts[ctx, lang])
+
+    padded, bits = b"\n\n\n" + text, 0.0
+    for i in range(3, len(padded)):
+        order = max(k for k in range(4) if not k or all(every[padded[i - j : i]] >= least for j in range(1, k + 1)))
+        bits -= math.log2(p(padded[i - order : i], padded[i]))
+    return bits
+
+
+def convolution(text: bytes, m: dict, stride: int, filters: int) -> float:
+    """The probability of the network, chunk by chunk; a chunk is two strides wide and zeros follow the text."""
+    n = max(1, -(-len(text) // stride))
+    data = text.ljust((n + 1) * stride, b"\0")
+    best = np.zeros(filters)
+    for k in range(n):
+        chunk = data[k * stride : (k + 2) * stride]
+        left = np.concatenate([m["embed"][b] for b in chunk[:stride]]).astype(float)
+        right = np.concatenate([m["embed"][b] for b in chunk[stride:]]).astype(float)
+        best = np.maximum(best, left @ m["left"] + right @ m["right"] + m["bias"])
+    return 1 / (1 + math.exp(-(float(best @ m["out"]) + float(m["base"][0]))))
+
+
+def fingerprint(text: str) -> tuple[str, list[int]]:
+    """The sums of the lines' vectors, modulo 2^32, as digits; and the sketch: bits set in the pairs' hashes, and pairs."""
+    dense, sketch = [0] * 16, [0] * 65
+    for line in text.split("\n"):
+        h = hashlib.sha512(line.encode()).digest()
+        dense = [(a + int.from_bytes(h[4 * i : 4 * i + 4], "big")) % (1 << 32) for i, a in enumerate(dense)]
+        words = re.findall(r"[^\x20\x09\x0B-\x0D]+", line)
+        for i, w in enumerate(words):
+            x = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            if i + 1 < len(words):
+                x = xxhash.xxh64_intdigest(words[i + 1].encode(), seed=x)
+            sketch = [c + (x >> b & 1) for b, c in enumerate(sketch[:64])] + [sketch[64] + 1]
+    return "".join(f"{x % (1 << 32):08x}" for x in dense + sketch), sketch
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    x, y = ([2 * c - s[64] for c in s[:64]] for s in (a, b))
+    both = sum(v * v for v in x) + sum(v * v for v in y)
+    return max(0.0, 1 - sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) / both) if both else 1.0

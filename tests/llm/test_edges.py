@@ -347,6 +347,52 @@ def test_language(spark):
     assert language.predict(told.limit(0), model).count() == 0
 
 
+def test_code_lengths():
+    """Against a loop over bytes and contexts, with bytes that the sample never holds and a language that some contexts lack."""
+    rng = random.Random(6)
+    letters = {"x": "abc de\né", "y": "bcdf g日\x01", "z": "aaab "}
+    langs = [rng.choice("xyz") for _ in range(40)]
+    texts = ["".join(rng.choice(letters[x]) for _ in range(rng.randint(0, 40))) for x in langs]
+    probes = [b"", b"a", "abc de é日本\x00".encode(), bytes(range(250, 256)), b"aaab aaab bcd", texts[0].encode(), texts[7].encode()]
+    buf, offsets = np.frombuffer(b"".join(probes), np.uint8), np.cumsum([0, *map(len, probes)])
+    for least in (1, 4):
+        model = language.fit(langs, texts, None, least)
+        got = language.code_lengths(buf, offsets, model)
+        for i, t in enumerate(probes):
+            for k, x in enumerate(model["names"]):
+                want = brute.code_length(langs, texts, least, x, t)
+                assert abs(got[i, k] - want) < 1e-4 * (1 + want), (t, x, got[i, k], want)
+    # the most frequent contexts alone, and no more of them than are asked for
+    assert len(language.fit(langs, texts, 20, 1)["cost"]) == 20 * model["symbols"]
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat, ids with many texts and long texts do not make a sample larger."""
+    rows = [(1, "same text", "a")] * 300 + [(2, f"text {i} " * 40, "a") for i in range(300)] + [(3, "long " * 20000, "b"), (4, None, "b"), (5, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, 50, 5000).collect()
+    by = {x: [r["text"] for r in got if r["lang"] == x] for x in "ab"}
+    assert len(by["a"]) == len(set(by["a"])) <= 50 and sum(map(len, by["a"][:-1])) < 5000
+    assert by["b"] == [("long " * 20000)[:5000]]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.learn(docs, labels, per_class=2, most_bytes=1000) is not None
+    assert {0 <= r["score"] <= 1 for r in quality.score(docs, quality.learn(docs, labels)).collect()} == {True}
+    clash = docs.withColumn("score", docs["lang"]).withColumn("letters", docs["lang"])
+    assert quality.score(clash, None).columns == ["doc_id", "text", "lang", "letters", "score"]
+    told = language.predict(clash, language.learn(docs))
+    assert told.columns == ["doc_id", "text", "lang", "letters", "lang_pred", "score"] and told.filter("letters <> lang").count() == 0
+
+
+def test_convolution():
+    """Scores against a loop over chunks."""
+    rng = np.random.default_rng(3)
+    m = quality.fit([b"abcdefgh" * 4, b"zzz", b"hello there"] * 4, np.array([1, 0, 1] * 4), epochs=2)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 7, 8, 9, 16, 17, 300)]
+    got = quality.pooled(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), m) @ m["out"] + m["base"]
+    for x, t in zip(got, texts, strict=True):
+        assert abs(1 / (1 + np.exp(-float(x))) - brute.convolution(t, m, quality.STRIDE, quality.FILTERS)) < 1e-5
+
+
 def test_code_lengths_do_not_depend_on_batches():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc de\né") for _ in range(rng.randint(0, 60))) for _ in range(40)]

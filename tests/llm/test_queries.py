@@ -114,6 +114,10 @@ def test_op7(spark, sf_dir, docs):
         r = rows[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), brute.sha(edited))
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        if len(t) < 3000:
+            (f, a), (g, b), (_, c) = (brute.fingerprint(x) for x in (t, edited, u))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (f, g)
+            assert abs(r["near_edited"] - brute.likeness(a, b)) < 1e-9 and abs(r["near_next"] - brute.likeness(a, c)) < 1e-9
         if edited == t:
             assert r["edited_fingerprint"] == r["fingerprint"] and r["near_edited"] == 1
         if rows[e]["fingerprint"] == r["fingerprint"]:
