@@ -1,11 +1,12 @@
 """SimHash near-duplicates: 64-bit fingerprints, links at a Hamming radius, connected components.
 
-Fingerprints are made by Spark's own functions (its xxhash64 is XXH64 with seed 42). Two fingerprints within radius r
-agree in at least one of r + 1 blocks of bits, so the shards of the search are the fingerprints that share a block; a
-shard that is still large is cut again by the blocks of its remaining bits. Each shard gets a BK-tree: a child hangs at
-the integer distance to its parent, and a search follows only edges within the radius. What a shard reports is a
-spanning forest of its links, at most one row for each member, so groups of copies never become pairs. Components are
-then joined by alternating large-star and small-star steps.
+Fingerprints are made by Spark's own functions (its xxhash64 is XXH64 with seed 42). BK-trees find the links: a child
+hangs at the integer distance to its parent, and a search follows only edges within the radius. As long as the distinct
+fingerprints are few, which is counted, one tree is broadcast and each task searches it for its own. Beyond that shards of
+trees are dealt by key: two fingerprints within radius r agree in at least one of r + 1 blocks of bits, so the shards are
+the fingerprints that share a block; a shard that is still large is cut again by the blocks of its remaining bits. What a
+task reports is a spanning forest of its links, at most one row for each member, so groups of copies never become pairs.
+Components are then joined by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def _levels(nodes: DataFrame, most: int) -> list[DataFrame]:
-    """Tables of key, fp and rep: rows that share a key are a shard."""
+    """Tables of key and fp: rows that share a key are a shard."""
     out, bits = [], 64
-    rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", "rep", F.col("fp").alias("rest"))
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest"))
     for depth, width in enumerate(WIDTHS):
         cut = []
         for j in range(RADIUS + 1):
@@ -56,7 +57,7 @@ def _levels(nodes: DataFrame, most: int) -> list[DataFrame]:
             value = F.shiftrightunsigned("rest", s).bitwiseAND(F.lit((1 << width) - 1))
             above = F.shiftleft(F.shiftrightunsigned("rest", s + width), s) if s + width < bits else F.lit(0).cast("long")
             below = F.col("rest").bitwiseAND(F.lit((1 << s) - 1))
-            cut.append(F.struct(F.xxhash64(F.col("key"), F.lit(depth), F.lit(j), value).alias("key"), "fp", "rep", above.bitwiseOR(below).alias("rest")))
+            cut.append(F.struct(F.xxhash64(F.col("key"), F.lit(depth), F.lit(j), value).alias("key"), "fp", above.bitwiseOR(below).alias("rest")))
         bits -= width
         rows = rows.select(F.explode(F.array(*cut)).alias("x")).select("x.*")
         if depth == len(WIDTHS) - 1:
@@ -69,7 +70,7 @@ def _levels(nodes: DataFrame, most: int) -> list[DataFrame]:
             break
         out.append(rows.join(large, "key", "left_anti"))
         rows = spool(rows.join(large, "key", "left_semi"))
-    return [x.select("key", "fp", "rep") for x in out]
+    return [x.select("key", "fp") for x in out]
 
 
 def _tree(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,30 +107,37 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def link(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, pairs: int = 2_000_000) -> np.ndarray:
-    """For each item the smallest index of its component among items of its group; sorted by group, fp distinct there.
-
-    pairs bounds how many (query, node) pairs are looked at together.
-    """
-    n = len(fp)
-    label = np.arange(n)
+def _index(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees of all groups: root of each item, and the children sorted by parent and distance (keys and items)."""
     root, parent, edge = _tree(group, fp)
     slot = np.where(parent >= 0, parent * 65 + edge, -1)
     order = np.argsort(slot, kind="stable")
-    keys = slot[order]
-    sizes = np.bincount(root, minlength=n)[root]
+    return root, slot[order], order
+
+
+def _search(queries: np.ndarray, fp: np.ndarray, tree: list[np.ndarray], radius: int, label: np.ndarray, pairs: int = 2_000_000) -> None:
+    """Join the labels of queries (items) and of what lies within the radius; pairs bounds how many (query, node) pairs are looked at together."""
+    root, keys, order = tree
+    sizes = np.bincount(root, minlength=len(fp))[root[queries]]
     step = np.cumsum(np.maximum(sizes, 1)) // pairs
-    for q in np.split(np.arange(n), np.flatnonzero(np.diff(step)) + 1):
+    for q in np.split(queries, np.flatnonzero(np.diff(step)) + 1):
         node = root[q]
         while len(q):
             d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
             hit = (d <= radius) & (q != node)
             _merge(label, q[hit], node[hit])
+            # only edges within the radius of the distance lead to matches
             lo = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0), "left")
             hi = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), "right")
             many = hi - lo
             q = np.repeat(q, many)
             node = order[np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+
+
+def link(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, pairs: int = 2_000_000) -> np.ndarray:
+    """For each item the smallest index of its component among items of its group; sorted by group, fp distinct there."""
+    label = np.arange(len(fp))
+    _search(np.arange(len(fp)), fp, _index(group, fp), radius, label, pairs)
     return label
 
 
@@ -137,10 +145,10 @@ def _link_shards(batches: Iterator[pd.DataFrame], most_rows: int = 200_000) -> I
     """Whole shards at a time (batches come sorted by key); yields a row (a, b) for each member but one of a component."""
 
     def done(x: pd.DataFrame) -> pd.DataFrame:
-        key, fp, rep = x["key"].to_numpy(), x["fp"].to_numpy().view(np.uint64), x["rep"].to_numpy()
-        label = link(key, fp)
+        key, fp = x["key"].to_numpy(), x["fp"].to_numpy()
+        label = link(key, fp.view(np.uint64))
         on = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": rep[on], "b": rep[label[on]]})
+        return pd.DataFrame({"a": fp[on], "b": fp[label[on]]})
 
     kept: list[pd.DataFrame] = []
     rows = 0
@@ -177,22 +185,51 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2048) -> DataFrame:
-    """doc_id, fp and component_id for each row; extra columns of docs are not carried.
+def _tree_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links of all nodes by one broadcast tree; each task searches it for its own fingerprints. nodes are few (checked)."""
+    fps = np.sort(np.array([r["fp"] for r in nodes.select("fp").collect()], np.int64).view(np.uint64))
+    shared = nodes.sparkSession.sparkContext.broadcast((fps, *_index(np.zeros(len(fps), np.int64), fps)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fp, *tree = shared.value
+        for x in batches:
+            if not len(x):
+                continue
+            label = np.arange(len(fp))
+            _search(np.searchsorted(fp, x["fp"].to_numpy().view(np.uint64)), fp, tree, RADIUS, label)
+            on = np.flatnonzero(label != np.arange(len(label)))
+            yield pd.DataFrame({"a": fp[on].view(np.int64), "b": fp[label[on]].view(np.int64)})
+
+    return nodes.select("fp").mapInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2048, broadcast: int = 8192) -> DataFrame:
+    """doc_id, h, fp, component and component_id for each row; extra columns of docs are not carried.
+
+    h: hash of the text; component: a number that the rows of one component share; component_id: the smallest doc_id in it.
+    Null and empty texts have fingerprint zero and are linked like any other; texts of any length are shingled whole, one
+    text's words must fit into a task. Repeated rows come back as often as they came; rows of one id with other texts are
+    fingerprinted each, and linked only if their fingerprints are. Rows with a null doc_id get their fingerprint's component,
+    and no component_id if no document with an id is in it. An empty table gives no rows.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows come back as often as they
-    came. Rows with a null doc_id get their fingerprint's component, and none if no document with an id is in it. An
-    empty table gives no rows. most: shards of more fingerprints are cut again.
+    broadcast: up to so many distinct fingerprints are one tree (16 bytes each) that all tasks get; more are dealt to
+    shards by blocks of bits. most: shards of more fingerprints are cut again.
     """
     prints = spool(fingerprints(docs, shingle))
-    nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter(F.col("rep").isNotNull()))
-    edges = None
-    for level in _levels(nodes, most):
-        found = level.repartition("key").sortWithinPartitions("key").mapInPandas(_link_shards, "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
+    nodes = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    if nodes.count() <= broadcast:
+        edges = _tree_links(nodes)
+    else:
+        edges = None
+        for level in _levels(nodes, most):
+            found = level.repartition("key").sortWithinPartitions("key").mapInPandas(_link_shards, "a long, b long")
+            edges = found if edges is None else edges.unionByName(found)
     roots = components(edges)
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    named = spool(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component")))
+    # by fingerprint, so that a component of very many copies is one row for each distinct one
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.select("fp", "component").join(least, "component")
     ids = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
-    named = spool(prints.join(named, "fp", "left"))
+    named = spool(prints.join(named, "fp"))
     same = (ids["doc_id"].eqNullSafe(named["doc_id"])) & (ids["h"] == named["h"])
-    return ids.join(named, same).select(ids["doc_id"], "fp", "component_id")
+    return ids.join(named, same).select(ids["doc_id"], ids["h"], "fp", "component", "component_id")

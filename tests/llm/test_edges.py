@@ -159,8 +159,20 @@ def test_simhash_links_at_every_distance():
 def test_simhash_cut_shards(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(bare(spark, texts), most=2).collect()}
-    assert got == brute.components([(d, brute.simhash(t)) for d, t in enumerate(texts)])
+    want = brute.components([(d, brute.simhash(t)) for d, t in enumerate(texts)])
+    for broadcast in (8192, 0):  # one tree for all tasks, or shards
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(bare(spark, texts), most=2, broadcast=broadcast).collect()}
+        assert got == want
+
+
+def test_simhash_of_ids_that_repeat(spark):
+    """Rows of one id with other texts are documents each; so are rows without an id."""
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 9
+    rows = [(1, "p q r s"), (1, near), (2, near + "end"), (None, near), (None, "x y z"), (4, "p q r s")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {(r["doc_id"], r["h"]): r["component"] for r in got}
+    assert len(of) == 6 and len(set(of.values())) == 3
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (4, 1)]
 
 
 def test_fingerprints(spark):
