@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.sources.spool import free, partitions, spool, table, written  # noqa: F401  for the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
-        pass
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage, so that the loss of an executor repeats nothing above it, and keeps columns prunable.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores in front until no column is called so (Spark does not tell case)."""
     taken, out = {c.lower() for c in columns}, []
@@ -81,7 +45,3 @@ def least_by_hash(rows: DataFrame, group: str, hashed: Column, k: int) -> DataFr
 
 def salt_of(column: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

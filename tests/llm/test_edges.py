@@ -485,5 +485,17 @@ def test_pipeline_stages_on_odd_tables(spark, stage, sf_dir):
     out = run(spark, docs, sf_dir)
     if name != "best_fit_packing":
         assert out.columns == p.COLUMNS
-    out.collect()
+    rows = out.collect()
     assert run(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "simhash_dedup":
+        # one row of each group: rows that repeat, one id with another text, and no id
+        prints = {(d, t): brute.simhash(t) for d, t in [*enumerate(TEXTS), *((d, t) for d, t in MORE)]}
+        root = brute.components(list(enumerate(prints.values())))
+        groups = {}
+        for k, row in enumerate(prints):
+            groups.setdefault(root[k], []).append(row)
+        got = [(r["doc_id"], r["text"]) for r in rows]
+        assert len(got) == len(groups)
+        for group in groups.values():
+            (kept,) = [x for x in group if x in got or (x[1] is None and (x[0], "") in got)]
+            assert kept[0] == min((d for d, _ in group if d is not None), default=None)

@@ -1,5 +1,6 @@
 """Every query of the subpackage on the driver's tables against brute force, a round trip or held-out rows."""
 
+import re
 import sys
 import zlib
 from collections import defaultdict
@@ -15,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import compare
 
+from lexiforge.llm import language
 from lexiforge.llm import queries as q
 
 
@@ -171,6 +173,11 @@ def test_pipeline(spark, sf_dir):
         assert docs.filter(F.col("n_chars") != F.length("text")).count() == 0
         if name == "language_id":
             assert set(now) <= set(had) and len(now) > 0.95 * len(had)
+            told = [(r["lang"], r["text"]) for r in language.sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), 600, 8 << 20).collect()]
+            model = language.fit([x for x, _ in told], [t for _, t in told])
+            one = {d: language.code_lengths(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), model)[0] for d, t in had}
+            sure = {d for d, t in had if re.search(r"[^\W\d_]", t or "") and 1 / np.exp2(-np.minimum(one[d] - one[d].min(), 1000)).sum() >= p.MIN_SCORE}
+            assert {d for d, _ in now} == sure
         elif name == "line_dedup":
             want = brute.line_dedup(had)
             assert now == sorted((d, t) for d, (_, gone, t) in want.items() if t or not gone)
@@ -178,7 +185,7 @@ def test_pipeline(spark, sf_dir):
             root = brute.components([(d, brute.simhash(t)) for d, t in had])
             assert now == [x for x in had if root[x[0]] == x[0]]
         else:
-            want = brute.suffix_dedup(had)
+            want = brute.suffix_dedup(had, p.PASSAGE_BYTES)
             assert now == sorted((d, kept.decode("utf-8", "ignore")) for d, _, gone, _, kept in want if not gone or kept.decode("utf-8", "ignore"))
         had = now
         out.append(len(now))
