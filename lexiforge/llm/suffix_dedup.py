@@ -6,8 +6,9 @@ with the least hash. Equal windows have equal anchors, so windows can only be eq
 of a document with the same anchor form a span. Then:
 
 1. Spans are counted by anchor. An anchor that stands once cannot repeat and is left out; nothing else is decided by counts.
-2. Of every other anchor the distinct spans are fetched, two places of a span that has several, and dealt to shards. Each
-   shard builds its suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's rule; windows whose
+2. Of every other anchor the distinct spans are fetched, two places of a span that has several, and dealt to shards. Two
+   places of one span are compared byte by byte. The distinct spans of an anchor that has more than one go into the
+   shard's suffix array, built by Larsson-Sadakane refinement, with common prefixes by Kasai's rule; windows whose
    suffixes share 400 bytes are equal.
 3. An anchor with many spans is dealt to several shards. Those report their distinct windows as digests in sorted arrays, and
    equal windows of different shards are found by binary search.
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.arrow_text import raw
-from lexiforge.llm.common import fresh, partitions, spool
+from lexiforge.llm.common import free, fresh, partitions, spool, written
 
-LENGTH, PASSAGE, GRAM, CHUNK = 400, 256, 64, 1 << 19
+LENGTH, PASSAGE, GRAM, CHUNK = 400, 320, 64, 1 << 19
 _TABLE = np.random.default_rng(20240).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-RECORD = "k1 long, k2 long, anchor long, span long, start long, m int, size int, off int"
+RECORD = "k1 long, k2 long, anchor long, span long, start int, m int, size int, off int"
 
 
 # ---- anchors ----------------------------------------------------------------------------------------------------
@@ -115,7 +116,7 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, reach: int) -> Iter
         at = pa.array(s["text"])
         hashes = [pa.array(s[c].view(np.int64)) for c in ("anchor", "span")]
         yield pa.RecordBatch.from_arrays(
-            [x.column("k1").take(at), x.column("k2").take(at), *hashes, *(pa.array(s[c]) for c in ("start", "m", "size", "off"))],
+            [x.column("k1").take(at), x.column("k2").take(at), *hashes, *(pa.array(s[c].astype(np.int32)) for c in ("start", "m", "size", "off"))],
             names=["k1", "k2", "anchor", "span", "start", "m", "size", "off"],
         )
         pa.default_memory_pool().release_unused()
@@ -227,6 +228,23 @@ def _repeats(x: pd.DataFrame, lengths: list[int]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
+    first: dict[tuple[int, int], int] = {}
+    row, copied = np.ones(len(x), bool), np.zeros(len(x), bool)
+    data, anchors = x["bytes"].tolist(), x["anchor"].tolist()
+    for i, at in enumerate(zip(anchors, x["span"].tolist(), strict=True)):
+        k = first.setdefault(at, i)
+        if k != i and data[k] == data[i]:  # the span stands in two places
+            row[i], copied[k] = False, True
+    x, copied = x[row].reset_index(drop=True), copied[row]
+    alone = ~(x["anchor"].duplicated(keep=False) | x["hot"]).to_numpy()
+    m, sizes = x["m"].to_numpy(), x["bytes"].str.len().to_numpy()
+    for level, length in enumerate(lengths):  # an anchor with one span has no other that could hold its windows
+        many = np.minimum(m, sizes - length + 1)
+        on = alone & copied & (many > 0)
+        yield pd.DataFrame({"level": level, "anchor": x["anchor"][on], "span": x["span"][on], "rel": 0, "size": many[on] + length - 1, "d1": 0, "d2": 0, "windows": None})
+    x, copied = x[~alone].reset_index(drop=True), copied[~alone]
+    if not len(x):
+        return
     texts, m, sizes = x["bytes"].tolist(), x["m"].to_numpy(), x["bytes"].str.len().to_numpy()
     whole = np.frombuffer(b"".join(texts), np.uint8)
     base = np.cumsum(sizes) - sizes
@@ -241,7 +259,7 @@ def _repeats(x: pd.DataFrame, lengths: list[int]) -> Iterator[pd.DataFrame]:
         rel = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
         # suffixes that share `length` bytes are neighbours in suffix order: one class
         kind = np.cumsum(lcp < length)[rank[base[text] + rel]]
-        twice = np.bincount(kind)[kind] > 1
+        twice = (np.bincount(kind) + np.bincount(kind, copied[text]) > 1)[kind]
         edge = np.r_[True, (text[1:] != text[:-1]) | (twice[1:] != twice[:-1])]
         heads = np.flatnonzero(edge)
         tails = np.r_[heads[1:], len(text)]
@@ -375,17 +393,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None =
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({k1: F.xxhash64("doc_id", text), k2: F.xxhash64(F.lit(2), text, "doc_id")})
     own = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text")
-    records = spool(own.filter(F.octet_length("text") >= shortest).mapInArrow(lambda it: _records(it, shortest, reach), RECORD))
-    # partial sums come first, so a span that a third of all documents hold is one row of each task here
-    where = F.struct("k1", "k2", "start", "m", "size", "off")
-    counted = spool(records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last")))
-    places = counted.groupBy("anchor").agg(F.sum(F.least("n", F.lit(2))).alias("k")).filter(F.col("k") > 1)
+    with written() as made:
+        every = spool(own.filter(F.octet_length("text") >= shortest).mapInArrow(lambda it: _records(it, shortest, reach), RECORD))
+        # partial sums come first, so an anchor that a third of all documents hold is one row of each task here; the table is
+        # written, so that both sides of the join are dealt anew and Spark can split a hot anchor's rows
+        often = spool(every.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("anchor"))
+    records = spool(every.join(often, "anchor", "left_semi"))
+    free(spark, made)
+    where = F.struct("k1", "k2", "start")
+    spans_of = records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last"), *[F.max(c).alias(c) for c in ("m", "size", "off")])
+    counted = spool(spans_of)
+    places = counted.groupBy("anchor").agg(F.sum(F.least("n", F.lit(2))).alias("k"))
     two = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at")), F.struct(F.lit(1).alias("nth"), F.col("last").alias("at"))))
     two = two.otherwise(F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at"))))
-    wanted = counted.join(places, "anchor").select("anchor", "span", "k", F.explode(two).alias("x")).select("anchor", "span", "k", "x.nth", "x.at.*")
+    wanted = counted.join(places, "anchor").select("anchor", "span", "k", "m", "size", "off", F.explode(two).alias("x")).select("anchor", "span", "k", "m", "size", "off", "x.nth", "x.at.*")
     sub = F.pmod(F.col("span"), F.ceil(F.col("k") / most))
     wanted = wanted.withColumns({"hot": F.col("k") > most, "shard": F.xxhash64("anchor", sub)}).drop("k")
-    cut = F.expr("substring(cast(text AS binary), cast(start AS int) + 1, size)")
+    cut = F.expr("substring(cast(text AS binary), start + 1, size)")
     fetched = wanted.join(own, ["k1", "k2"]).select("k1", "k2", "start", "nth", "shard", "anchor", "span", "m", "off", "hot", cut.alias("bytes"))
     fetched = fetched.dropDuplicates(["k1", "k2", "start", "nth", "anchor"])  # a row that repeats is fetched as often
     dealt = fetched.select("shard", "anchor", "span", "m", "off", "hot", "bytes").repartition(partitions(spark), "shard").sortWithinPartitions("shard")

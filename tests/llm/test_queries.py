@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import compare
 
-from lexiforge.llm import language
+from lexiforge.llm import language, suffix_dedup
 from lexiforge.llm import queries as q
 
 
@@ -45,7 +45,7 @@ def test_op1(spark, sf_dir, docs):
 
 def test_op2(spark, sf_dir, docs):
     got = {r["doc_id"]: tuple(r) for r in q.op2_suffix_dedup(spark, sf_dir).collect()}
-    passages = brute.suffix_dedup(docs, 256)
+    passages = brute.suffix_dedup(docs, suffix_dedup.PASSAGE)
     want = {d: (d, n, gone, spans, brute.sha(kept), p[2]) for (d, n, gone, spans, kept), p in zip(brute.suffix_dedup(docs), passages, strict=True)}
     assert got == want
     assert any(x[2] for x in want.values())
