@@ -24,13 +24,41 @@ def _alphabet() -> tuple[str, str]:
 MARKED, PLAIN = _alphabet()
 
 
+def _compositions() -> tuple[str, str]:
+    """Letter and combining mark, two characters each, and the letters they make (canonical composition; two marks in either order)."""
+    pairs = {}
+    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base, *marks = unicodedata.normalize("NFD", chr(c))
+        for order in {tuple(marks), tuple(reversed(marks))}:
+            below = unicodedata.normalize("NFC", base + "".join(order[:-1]))
+            if order and len(below) == 1 and unicodedata.normalize("NFC", below + order[-1]) == chr(c):
+                pairs[below + order[-1]] = chr(c)
+    return "".join(pairs), "".join(pairs.values())
+
+
+PAIRS, COMPOSED = _compositions()
+#: What counts as white space at the ends of a word.
+SPACES = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def nfc(x: Column) -> Column:
+    """Latin letters and their combining marks composed. Texts without combining marks are left as they are at once."""
+
+    def add(done: Column, c: Column) -> Column:
+        at = F.position(F.concat(F.right(done, F.lit(1)), c), F.lit(PAIRS))
+        joined = F.concat(F.left(done, F.length(done) - 1), F.substring(F.lit(COMPOSED), F.floor((at + 1) / 2).cast("int"), F.lit(1)))
+        return F.when((done != "") & c.rlike("\\p{M}") & (at > 0), joined).otherwise(F.concat(done, c))
+
+    return F.when(x.rlike("\\p{M}"), F.aggregate(F.split(x, ""), F.lit(""), add)).otherwise(x)
+
+
 def strip_marks(x: Column) -> Column:
     """Without diacritics: composed Latin letters by table, combining marks by class."""
     return F.translate(F.regexp_replace(x, "\\p{M}+", ""), MARKED, PLAIN)
 
 
 def norm_headword(x: Column) -> Column:
-    return F.lower(F.trim(x))
+    return F.lower(F.btrim(nfc(x), F.lit(SPACES)))
 
 
 def fold_key(x: Column) -> Column:
@@ -54,7 +82,7 @@ def is_headword(x: Column) -> Column:
 
 def split_homonym(x: Column) -> Column:
     """struct(word, homonym): digits after a letter at the end, with punctuation around them dropped."""
-    bare = F.regexp_replace(F.trim(x), "[\\s,;:.]+$", "")
+    bare = F.regexp_replace(F.trim(F.regexp_replace(nfc(x), "\\s+", " ")), "[\\s,;:.]+$", "")
     number = F.regexp_extract(bare, "\\p{L}(\\d+)$", 1)
     word = F.when(number != "", F.regexp_replace(bare, "\\d+$", "")).otherwise(bare)
     return F.struct(word.alias("word"), F.when(number != "", number.cast("int")).alias("homonym"))
@@ -73,8 +101,12 @@ def list_param(x: Column, allowed: list[str]) -> Column:
     return F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v.isin(allowed))
 
 
+#: What a grammatical abbreviation is: nothing, a short word with a stop, two letters with stops, or a number.
+ABBREVIATION = "^(?:[a-zăâîșț]{1,6}\\.|[a-zăâîșț]\\.-?[a-zăâîșț]\\.|[0-9]+|)$"
+
+
 def is_abbreviation(x: Column) -> Column:
-    return (x == "") | x.rlike("^[a-zăâîșț]{1,6}\\.$") | x.rlike("^[a-zăâîșț]\\.-[a-zăâîșț]\\.$") | x.rlike("^\\d+$")
+    return F.lower(F.btrim(x, F.lit(SPACES))).rlike(ABBREVIATION)
 
 
 def error_kind(message: Column) -> Column:

@@ -125,14 +125,25 @@ def forvo(body: str, word: str) -> list[Entry]:
 
 # ---- wiki -------------------------------------------------------------------------------------------------------
 
-# Parameters of inflection templates and their tags; names of languages of origin.
+# Parameters of inflection templates and the tags they stand for.
 _PARAMS = {
-    "nom-sg": "nominative singular", "nom-pl": "nominative plural", "art-sg": "articulated singular", "art-pl": "articulated plural",
-    "dat-sg": "dative genitive singular", "dat-pl": "dative genitive plural", "voc-sg": "vocative singular", "voc-pl": "vocative plural",
-    "inf": "infinitive", "ind": "indicative present", "conj": "subjunctive present", "part": "participle", "ger": "gerund",
-}
-_POS = "substantiv verb adjectiv adverb pronume numeral prepoziție conjuncție interjecție articol expresie locuțiune".split()
-_ORIGINS = "latină franceză germană engleză greacă slavă turcă maghiară rusă italiană bulgară sârbă ucraineană".split()
+    "nom-sg": ("nominative", "singular"),
+    "nom-pl": ("nominative", "plural"),
+    "art-sg": ("articulated", "singular"),
+    "art-pl": ("articulated", "plural"),
+    "dat-sg": ("dative", "genitive", "singular"),
+    "dat-pl": ("dative", "genitive", "plural"),
+    "voc-sg": ("vocative", "singular"),
+    "voc-pl": ("vocative", "plural"),
+    "inf": ("infinitive",),
+    "ind": ("indicative", "present"),
+    "conj": ("subjunctive", "present"),
+    "part": ("participle",),
+    "ger": ("gerund",),
+}
+# Names of parts of speech, and of languages of origin.
+_POS = ("substantiv", "verb", "adjectiv", "adverb", "pronume", "numeral", "prepoziție", "conjuncție", "interjecție", "articol", "expresie", "locuțiune")
+_ORIGINS = ("latină", "franceză", "germană", "engleză", "greacă", "slavă", "turcă", "maghiară", "rusă", "italiană", "bulgară", "sârbă", "ucraineană")
 
 
 def _wiki_senses(lines: list[str]) -> list[dict]:
@@ -174,7 +185,7 @@ def wiktionary(body: str, word: str) -> list[Entry]:
     roman = params.get("cj")
     return [make(
         "wiktionary", page.get("title") or word, page.get("title") or word, 0, senses, pos=pos, gender=gender and {"f": "feminin", "m": "masculin", "n": "neutru"}[gender[1].lower()],
-        inflections=[(f, t.split()) for f, t in forms], pronunciations=[{"ipa": x} for x in dict.fromkeys(ipa)],
+        inflections=[(f, list(t)) for f, t in forms], pronunciations=[{"ipa": x} for x in dict.fromkeys(ipa)],
         etymology={"text": origin, "languages": [x for x in _ORIGINS if x in origin.lower()]} if origin else None,
         paradigm={"model_code": None, "class_roman": roman, "cells": []} if roman else None,
     )]
