@@ -37,7 +37,7 @@ class Lexicon:
         self, words: DataFrame, *, sources: Sequence[str] = (), include: Sequence[str] = (), dictionaries: Sequence[str] = (), everything: bool = False, orthographic: bool = False, limit: int = view.LIMIT,
         merged: bool = False, flat: bool = False, phonetics: bool = True,
     ) -> DataFrame:
-        """The entries of words (column word). merged: one entry a lemma, over all providers. flat: the flat form."""
+        """The entries of words (column word). merged: one entry a lemma, over all providers, with its place among those of the lemma. flat: the flat form."""
         if not 1 <= limit <= 200:
             raise ValueError("limit is 1 to 200")
         asked = view.prune_providers(self.registry, sources, include).select("provider_id")
@@ -54,7 +54,7 @@ class Lexicon:
         if merged:
             place = self.registry.select("provider_id", F.col("place").alias("__place"))
             ordered = out.join(F.broadcast(place), "provider_id", "left")
-            out = merge.merge_entries(ordered.withColumn("ord", F.struct("__place", "rank", "id")).drop("word", "rank", "__place"))
+            out = merge.in_order(merge.merge_entries(ordered.withColumn("ord", F.struct("__place", "rank", "id")).drop("word", "rank", "__place")))
         return adapt.entry_to_flat(out) if flat else out
 
     def index(self) -> search.Index:
@@ -92,13 +92,26 @@ class Lexicon:
             return self.registry.withColumn("breaker", F.lit("closed"))
         return self.registry.join(breakers.select("provider_id", F.col("state").alias("breaker")), "provider_id", "left").fillna("closed", ["breaker"])
 
+    def to_fetch(self, words: DataFrame, lookups: DataFrame, refresh: bool = False) -> DataFrame:
+        """provider_id and headword of the documents to fetch for words: those of providers that are on, without a fresh lookup (provider_id, headword, expires_at). refresh: all."""
+        valid = words.filter(is_headword(F.col("word"))).select(norm_headword(F.col("word")).alias("headword")).distinct()
+        wanted = F.broadcast(self.registry.filter("enabled").select("provider_id", F.lit(1).alias("__one"))).join(valid.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        return store.to_fetch(wanted, lookups, F.current_timestamp(), refresh)
+
     def save(self, path: str) -> None:
         store.write_snapshot(self.entries, path)
 
 
-def import_dump(spark: SparkSession, path: str, words: Sequence[str] | None = None, full: bool = True) -> dict[str, DataFrame]:
-    """The tables of a gzipped SQL dump as entries, senses, verb forms, lookups and a summary. words: the "lite" import."""
-    return seed.import_tables(read_dump(spark, path), words, full)
+def import_dump(spark: SparkSession, path: str, words: Sequence[str] | None = None, mode: str = "full") -> dict[str, DataFrame]:
+    """The tables of a gzipped SQL dump as entries, senses, verb forms, lookups and a summary.
+
+    words: only entries whose first word is among these. mode "lite": without verb forms, and if no words are given only the frequent ones.
+    """
+    if mode not in ("lite", "full"):
+        raise ValueError('mode is "lite" or "full"')
+    if mode == "lite" and words is None:
+        words = seed.FREQUENT
+    return seed.import_tables(read_dump(spark, path), words, mode == "full")
 
 
 def to_json(entries: DataFrame) -> DataFrame:

@@ -88,8 +88,16 @@ def split_homonym(x: Column) -> Column:
     return F.struct(word.alias("word"), F.when(number != "", number.cast("int")).alias("homonym"))
 
 
+def url_word(word: Column) -> Column:
+    """A word as a component of a URL: blanks become %20, and !'()~* stay."""
+    out = F.url_encode(word)
+    for have, want in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(have), F.lit(want))
+    return out
+
+
 def url_of(base: str, word: Column) -> Column:
-    return F.concat(F.lit(base), F.replace(F.url_encode(word), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(base), url_word(word))
 
 
 def truthy(x: Column) -> Column:

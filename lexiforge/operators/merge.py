@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import norm_headword, sense_key
-from lexiforge.operators.rank import join_same
+from lexiforge.operators.rank import join_same, place_in_groups
 from lexiforge.schema import POS_UNKNOWN
 
 KEYS = ("lemma", "pos", "homonym")
@@ -59,12 +59,17 @@ def merge_pronunciations(items: DataFrame, keys: Sequence[str] = KEYS, fields: S
 
 
 def merge_senses(items: DataFrame, keys: Sequence[str] = KEYS, short: int = 12) -> DataFrame:
-    """items (keys, at, text, ...): without later repeats of a long sense. Short ones all stay."""
+    """items (keys, at, text, ...; at is unique): without later repeats of a long sense. Short ones all stay.
+
+    One aggregate gives the places that stay, and items are read again by place: the sense's key is made once, and a short
+    sense, whose own place is its key, meets no other.
+    """
     key = sense_key(F.col("text"))
-    keyed = items.withColumn("__key", F.when(F.length(key) > short, F.md5(key)))
-    first = keyed.filter("__key IS NOT NULL").groupBy(*keys, "__key").agg(F.min("at").alias("__first"))
-    out = join_same(keyed, first, [*keys, "__key"], "left")
-    return out.filter(F.col("__key").isNull() | (F.col("at") == F.col("__first"))).drop("__key", "__first")
+    # bound by an array of one, so that the key is made once for each row
+    kind = F.get(F.transform(F.array(key), lambda k: F.when(F.length(k) > short, F.md5(k))), F.lit(0))
+    kept = items.select(*keys, "at", kind.alias("__kind")).groupBy(*keys, "__kind", F.when(F.col("__kind").isNull(), F.col("at")).alias("__alone"))
+    kept = kept.agg(F.min("at").alias("__at")).select(F.col("__at").alias("at"))
+    return items.join(kept, "at", "left_semi").select(*items.columns)
 
 
 def union_lists(items: DataFrame, value: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -124,3 +129,8 @@ def merge_entries(entries: DataFrame) -> DataFrame:
         "etymology", none("derived").alias("derived"), none("compounds").alias("compounds"), "best.source", none("contributors").alias("contributors"),
         "authority", "first_ord", "n_entries",
     )
+
+
+def in_order(merged: DataFrame, keys: Sequence[str] = ("lemma",)) -> DataFrame:
+    """Merged entries with their place (from 1) among those of their lemma: authority downwards, then first appearance."""
+    return place_in_groups(merged, list(keys), [F.col("authority").desc(), F.col("first_ord").asc()], "place")

@@ -35,8 +35,8 @@ class Index:
 
 
 def build_index(docs: DataFrame, columns: Sequence[str], doc: str) -> Index:
-    """Tokens of the columns of docs; doc names the column of unique ids."""
-    split = docs.select(F.col(doc).alias("doc"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    """Tokens of the columns of docs; doc names the column of unique ids. Texts are split once, into a spooled table."""
+    split = spool(docs.select(F.col(doc).alias("doc"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)]))
     each = [split.select("doc", F.lit(i).alias("col"), F.posexplode(f"c{i}").alias("pos", "term")) for i in range(len(columns))]
     many = reduce(lambda a, b: a + b, [F.size(f"c{i}") for i in range(len(columns))])
     return Index(reduce(DataFrame.unionByName, each).select("term", "doc", "col", "pos"), split.select("doc", many.cast("long").alias("n_tokens")))

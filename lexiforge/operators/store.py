@@ -31,8 +31,14 @@ def stamp(rows: DataFrame, ttl: DataFrame, key: str, fetched_at: str = "fetched_
     return out.withColumn("expires_at", F.when(F.col("ttl_s").isNull(), F.lit(NEVER).cast(dict(rows.dtypes)[fetched_at])).otherwise(at)).drop("ttl_s")
 
 
-def fresh(rows: DataFrame, now: Column) -> DataFrame:
-    return rows.filter(F.col("expires_at") > now)
+def fresh(rows: DataFrame, now: Column, refresh: bool = False) -> DataFrame:
+    """The rows that need not be fetched again. refresh: all must, whatever their time to live."""
+    return rows.filter(F.lit(False) if refresh else F.col("expires_at") > now)
+
+
+def to_fetch(wanted: DataFrame, lookups: DataFrame, now: Column, refresh: bool = False, keys: Sequence[str] = ("provider_id", "headword")) -> DataFrame:
+    """The keys of wanted that no fresh lookup answers."""
+    return wanted.select(*keys).distinct().join(fresh(lookups, now, refresh).select(*keys), list(keys), "left_anti")
 
 
 def sweep(rows: DataFrame, now: Column) -> DataFrame:

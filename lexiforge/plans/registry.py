@@ -41,11 +41,21 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(lower(trim(text))) AS headword FROM documents")
+@query("SELECT doc_id, md5(lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))) AS headword FROM documents")
 def norm_headword(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(tx.norm_headword(F.col("text"))).alias("headword"))
 
 
+@query(rf"""WITH {TOKENS_SQL}, m AS (SELECT word, replace(replace(replace(word, 'é', 'e' || chr(769)), 'ñ', 'n' || chr(771)), 'ç', 'c' || chr(807)) AS loose FROM w)
+SELECT word, nfc_normalize(loose) AS headword, loose <> word AS decomposed FROM m""")
+def decomposed_headwords(spark: SparkSession, d: str) -> DataFrame:
+    """Words in decomposed spelling, brought to composed headwords."""
+    loose = F.col("word")
+    for letter, spelled in (("é", "e\u0301"), ("ñ", "n\u0303"), ("ç", "c\u0327")):
+        loose = F.replace(loose, F.lit(letter), F.lit(spelled))
+    return b.tokens(spark, d).withColumn("loose", loose).select("word", tx.norm_headword(F.col("loose")).alias("headword"), (F.col("loose") != F.col("word")).alias("decomposed"))
+
+
 @query("SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents")
 def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(F.lower(tx.strip_marks(F.col("text")))).alias("folded"))
@@ -169,15 +179,20 @@ def lemma_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = list(schema.AUTHORITY)
-_AUTH = ", ".join("('{}', {})".format(k.replace("'", "''"), v) for k, v in schema.AUTHORITY.items())
+# Written out again, so that a wrong value on either side is seen.
+_KNOWN = """('DOOM 3', 98, 2021), ('DOOM 2', 80, 2005), ('DEX ''09', 95, 2009), ('DEXI', 92, 2007), ('MDA2', 90, 2010), ('DEX ''98', 78, 1998), ('DEX ''96', 76, 1996),
+('MDN ''00', 74, 2000), ('MDN', 74, NULL), ('NODEX', 72, 2002), ('DN', 70, NULL), ('Ortografic', 68, NULL), ('MDO', 66, NULL), ('DLRLC', 60, 1957), ('DLRM', 58, 1958),
+('DER', 52, 1966), ('DE', 50, NULL), ('DCR2', 45, 2013), ('DCR', 44, NULL), ('DRAM 2021', 42, 2021), ('DRAM 2015', 40, 2015), ('DRAM', 38, NULL), ('DGS', 36, NULL),
+('DTM', 34, NULL), ('D.Religios', 32, NULL), ('Onomastic', 30, NULL), ('CECC', 28, NULL), ('IVO-III', 26, NULL), ('Sinonime', 24, NULL), ('Sinonime82', 22, 1982),
+('Argou', 20, NULL), ('CADE', 18, 1926), ('Scriban', 14, 1939), ('Șăineanu, ed. VI', 12, 1929)"""
 
 
-@query(f"""WITH s AS (SELECT s_suppkey, list_extract([{", ".join("'{}'".format(n.replace("'", "''")) for n in _NAMES)}, 'other'], CAST(s_suppkey % {len(_NAMES) + 1} AS INTEGER) + 1) AS source_name FROM supplier)
-SELECT s_suppkey, source_name, CAST(coalesce(a, 25) AS INTEGER) AS authority FROM s LEFT JOIN (VALUES {_AUTH}) t(name, a) ON name = source_name""")
+@query(f"""WITH t AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {_KNOWN}) t(name, a, y)), s AS (SELECT s_suppkey, CAST(s_suppkey % 35 AS INTEGER) AS i FROM supplier)
+SELECT s_suppkey, coalesce(name, 'other') AS source_name, CAST(coalesce(a, 25) AS INTEGER) AS authority, CAST(y AS INTEGER) AS year FROM s LEFT JOIN t USING (i)""")
 def authority_lookup(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in (*_NAMES, "other")])
     named = table(spark, d, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % (len(_NAMES) + 1)).cast("int")).alias("source_name"))
-    return named.withColumn("authority", schema.authority_of(F.col("source_name")))
+    return named.withColumns({"authority": schema.authority_of(F.col("source_name")), "year": schema.year_of(F.col("source_name"))})
 
 
 # ---- merging ----------------------------------------------------------------------------------------------------
@@ -258,6 +273,13 @@ SELECT word AS lemma, '' AS pos, 1 AS homonym, id, n_entries, authority, CAST(co
 FROM f JOIN c USING (word) LEFT JOIN t USING (word)"""
 
 
+@query(f"""WITH {LINKED_SQL}, m AS (SELECT lemma, pos, homonym, max(authority) AS authority, min(ord) AS first_ord FROM g GROUP BY lemma, pos, homonym)
+SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY authority DESC, first_ord) AS place FROM m""")
+def merge_order(spark: SparkSession, d: str) -> DataFrame:
+    merged = merge.group_keys(b.linked(spark, d)).groupBy(*merge.KEYS).agg(F.max("authority").alias("authority"), F.min("ord").alias("first_ord"))
+    return merge.in_order(merged)
+
+
 # ---- search -----------------------------------------------------------------------------------------------------
 
 
@@ -344,9 +366,37 @@ def pluralize(spark: SparkSession, d: str) -> DataFrame:
     return b.tokens(spark, d).withColumn("p", verbs.pluralize(F.col("word"))).select("word", "p.plural", "p.gender", "p.confidence")
 
 
-@query()
+# Known transcriptions, stated apart from the rules.
+_SAID = [
+    ("copil", "/koˈpil/"), ("ceas", "/t͡ʃas/"), ("ghiozdan", "/ɡjozˈdan/"), ("floare", "/ˈflo̯a.re/"), ("ou", "/ow/"), ("lui", "/luj/"), ("tablou", "/taˈblow/"), ("știință", "/ʃtiˈin.t͡sə/"),
+    ("lupi", "/lupʲ/"), ("pomi", "/pomʲ/"),
+]
+_SAID_SQL = ", ".join(f"('{w}', '{x}')" for w, x in _SAID)
+#: Words of open syllables, a plain consonant and a plain vowel each: their transcription follows letter by letter.
+_OPEN = "^([bdfklmnprstvz][aăâî]){2,}$"
+
+
+def spoken_words(spark: SparkSession, d: str) -> DataFrame:
+    """All words of the documents, and those whose transcription is known."""
+    known = spark.createDataFrame([(w,) for w, _ in _SAID], "word string")
+    return b.tokens(spark, d).unionByName(known).distinct()
+
+
+#: In SQL: the known transcriptions, and those of words of open syllables (stress on the last but one).
+SPOKEN_SQL = rf"""{TOKENS_SQL}, k(word, ipa) AS (VALUES {_SAID_SQL}), a AS (SELECT word FROM w UNION SELECT word FROM k),
+u AS (SELECT word, list_transform(regexp_extract_all(word, '..'), lambda x: translate(x, 'ăâî', 'əɨɨ')) AS syl FROM a WHERE regexp_matches(word, '{_OPEN}')),
+o AS (SELECT word, '/' || array_to_string(list_transform(syl, lambda x, i: CASE WHEN i = len(syl) - 1 THEN 'ˈ' || x WHEN i > 1 THEN '.' || x ELSE x END), '') || '/' AS ipa,
+  array_to_string(regexp_extract_all(word, '..'), '-') AS syllabification FROM u)"""
+
+
+@query(rf"""WITH {SPOKEN_SQL} SELECT a.word, coalesce(k.ipa, o.ipa) AS ipa, o.syllabification, translate(a.word, 'şţ', 'șț') AS letters, 'derived' AS origin, 'low' AS confidence
+FROM a LEFT JOIN k ON k.word = a.word LEFT JOIN o ON o.word = a.word""")
 def transcribe_words(spark: SparkSession, d: str) -> DataFrame:
-    return b.tokens(spark, d).withColumn("t", transcribe(F.col("word"))).select("word", "t.*")
+    """Transcriptions of all words; ipa and syllabification are shown where SQL can tell them, the letters of the syllables for every word."""
+    t = spoken_words(spark, d).withColumn("t", transcribe(F.col("word")))
+    known, plain = F.col("word").isin(*[w for w, _ in _SAID]), F.col("word").rlike(_OPEN)
+    return t.select("word", F.when(known | plain, F.col("t.ipa")).alias("ipa"), F.when(plain, F.col("t.syllabification")).alias("syllabification"),
+                    F.replace("t.syllabification", F.lit("-"), F.lit("")).alias("letters"), "t.origin", "t.confidence")
 
 
 # ---- import -----------------------------------------------------------------------------------------------------
@@ -542,10 +592,14 @@ def lift_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("id", F.size("senses").alias("n_senses"), F.md5(F.array_join(F.transform("senses", lambda s: s["text"]), "\n")).alias("senses_md5"))
 
 
-@query()
+@query(rf"""WITH {ENTRIES_SQL}, {SPOKEN_SQL.replace(TOKENS_SQL, "w AS (SELECT DISTINCT word FROM e)", 1)}
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(CASE WHEN regexp_matches(word, '[a-zăâîșțşţ]') OR regexp_matches(word, '[^\s-][\s-]+[^\s-]') THEN 1 ELSE 0 END AS INTEGER) AS n, o.ipa, o.syllabification
+FROM e LEFT JOIN o USING (word)""")
 def derive_pronunciations(spark: SparkSession, d: str) -> DataFrame:
+    """Entries without a transcription get one; shown is whether, and what it is for words of open syllables."""
     bare = b.nested_entries(spark, d).withColumn("pronunciations", F.filter("pronunciations", lambda p: F.lit(False)))
-    return adapt.derive_pronunciations(bare).select("id", F.get("pronunciations", F.lit(0))["ipa"].alias("ipa"), F.get("pronunciations", F.lit(0))["syllabification"].alias("syllabification"))
+    said, plain = F.get("pronunciations", F.lit(0)), F.col("display_headword").rlike(_OPEN)
+    return adapt.derive_pronunciations(bare).select("id", F.size("pronunciations").alias("n"), F.when(plain, said["ipa"]).alias("ipa"), F.when(plain, said["syllabification"]).alias("syllabification"))
 
 
 # ---- parsers ----------------------------------------------------------------------------------------------------

@@ -11,7 +11,9 @@ from lexiforge.functions.phonetics import espeak_notation, transcribe
 from lexiforge.operators import adapt, relational, seed
 from lexiforge.plans import bindings as b
 from lexiforge.plans.bindings import ENTRIES_SQL, TOKENS_SQL
-from lexiforge.plans.registry import query
+from lexiforge.plans.registry import _OPEN as OPEN_WORDS
+from lexiforge.plans.registry import _SAID as KNOWN_WORDS
+from lexiforge.plans.registry import SPOKEN_SQL, query, spoken_words
 from lexiforge.sources import documents
 from lexiforge.sources.spool import table
 
@@ -119,10 +121,16 @@ def enrich_entries(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("doc_id"), F.size("senses").alias("n_nodes"), F.size("inflections").alias("n_inflections"), F.get(first, F.lit(0)).alias("synonym"))
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'GPL-2.0-or-later' ELSE 'academic' END AS license, CASE WHEN doc_id % 2 = 0 THEN 'DEXonline' ELSE 'DLR / TEZAUR' END AS attribution FROM e")
+@query(f"""WITH {ENTRIES_SQL}, f AS (SELECT doc_id, doc_id % 2 = 0 AS dex, word, hit FROM e, (VALUES (true), (false)) t(hit))
+SELECT doc_id, CASE WHEN dex THEN 'GPL-2.0-or-later' ELSE 'academic' END AS license, hit AS cache_hit, CASE WHEN dex THEN 'DEXonline' ELSE 'DLR / TEZAUR' END AS provider_name,
+CASE WHEN dex THEN 'DEXonline.ro contributors; aggregated from DEX, DOOM, DLR and others.' ELSE 'Dicționarul Limbii Române (Academia Română); via dlr1.solirom.ro' END AS attribution,
+CASE WHEN hit THEN '' WHEN dex THEN 'https://dexonline.ro/definitie/' || doc_id || '%20' || url_encode(regexp_extract(word, '[a-zé]*')) || '/json' ELSE 'https://dlr1.solirom.ro/index.php?cuv=' || doc_id || '%20' || url_encode(regexp_extract(word, '[a-zé]*')) END AS url FROM f""")
 def stamp_source(spark: SparkSession, d: str) -> DataFrame:
-    e = b.nested_entries(spark, d).withColumn("provider_id", F.when(F.col("ord") % 2 == 0, "dexonline").otherwise("dlr"))
-    return adapt.stamp_source(e, schema.providers(spark)).select(F.col("id").cast("long").alias("doc_id"), "source.license", "source.attribution")
+    """Entries as they are fetched, and the same as they are found again."""
+    word = F.concat(F.col("id"), F.lit(" "), F.regexp_extract("headword", "[a-zé]*", 0))
+    e = b.nested_entries(spark, d).withColumns({"provider_id": F.when(F.col("ord") % 2 == 0, "dexonline").otherwise("dlr"), "word": word})
+    both = [adapt.stamp_source(e, schema.providers(spark), hit) for hit in (False, True)]
+    return both[0].unionByName(both[1]).select(F.col("id").cast("long").alias("doc_id"), "source.license", "source.cache_hit", "source.provider_name", "source.attribution", "source.url")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT doc_id, 'k1=' || word || '|k2=' || provider AS forms, CASE WHEN doc_id % 2 = 0 THEN 'seeded' ELSE 'rules' END AS origin FROM e")
@@ -158,9 +166,13 @@ def dump_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(seed.rep_text(rep)).alias("body"))
 
 
-@query()
+@query(rf"""WITH {SPOKEN_SQL}, n AS (SELECT a.word, coalesce(k.ipa, o.ipa) AS ipa FROM a LEFT JOIN k ON k.word = a.word LEFT JOIN o ON o.word = a.word)
+SELECT word, replace(replace(replace(replace(replace(replace(replace(replace(replace(trim(ipa, '/'), 't͡ʃ', 'tS'), 't͡s', 'ts'), 'ʃ', 'S'), 'ə', '@'), 'ɨ', 'i"'), 'ɡ', 'g'), 'o̯', 'o'), 'ˈ', chr(39)), 'ʲ', ';') AS notation, true AS plain FROM n""")
 def espeak(spark: SparkSession, d: str) -> DataFrame:
-    return b.tokens(spark, d).select("word", espeak_notation(transcribe(F.col("word"))["ipa"]).alias("notation"))
+    """The synthesizer's notation of all words: shown where SQL can tell it; in no word a sign of the transcription may be left."""
+    said = spoken_words(spark, d).withColumn("x", espeak_notation(transcribe(F.col("word"))["ipa"]))
+    shown = F.col("word").isin(*[w for w, _ in KNOWN_WORDS]) | F.col("word").rlike(OPEN_WORDS)
+    return said.select("word", F.when(shown, F.col("x")).alias("notation"), (~F.col("x").rlike("[ʃʒəɨɡˈʲ͡/]|^/|/$")).alias("plain"))
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, source_name AS work_title, CAST(len(senses) AS INTEGER) AS n_senses, word || ':' || provider AS form FROM e")

@@ -43,6 +43,12 @@ AUTHORITY = {
     "Sinonime": 24, "Sinonime82": 22, "Argou": 20, "CADE": 18, "Scriban": 14, "Șăineanu, ed. VI": 12,
 }
 DEFAULT_AUTHORITY = 25
+# Years of dictionaries, of those that have one.
+YEAR = {
+    "DOOM 3": 2021, "DOOM 2": 2005, "DEX '09": 2009, "DEXI": 2007, "MDA2": 2010, "DEX '98": 1998, "DEX '96": 1996, "MDN '00": 2000, "NODEX": 2002,
+    "DLRLC": 1957, "DLRM": 1958, "DER": 1966, "DCR2": 2013, "DRAM 2021": 2021, "DRAM 2015": 2015, "Sinonime82": 1982, "CADE": 1926, "Scriban": 1939,
+    "Șăineanu, ed. VI": 1929,
+}
 # Dictionaries of spelling only.
 ORTHOGRAPHIC = ("DOOM 3", "DOOM 2", "DOOM", "Ortografic", "MDO")
 # Id, name, license, capabilities, time to live in days, least interval in ms, concurrency, enabled, authority.
@@ -56,16 +62,42 @@ PROVIDERS = [
     ("conjugare", "Conjugare RO (rules + seed)", "MIT", ["conjugation", "inflections"], 365, 0, 999, True, 20),
     ("pluralro", "plural-ro (rule-based)", "MIT", ["pluralization", "inflections"], 365, 0, 999, True, 30),
 ]
+# How a provider's entries are credited.
+ATTRIBUTION = {
+    "doom": "Institutul de Lingvistică „Iorgu Iordan – Al. Rosetti\", DOOM 3",
+    "dexonline": "DEXonline.ro contributors; aggregated from DEX, DOOM, DLR and others.",
+    "mdex": "m.dex.ro (mirror of DEXonline)",
+    "wiktionary": "Wikționar contributors, ro.wiktionary.org (CC BY-SA 4.0)",
+    "forvo": "Forvo Pronunciation API; per-clip credit to user.",
+    "dlr": "Dicționarul Limbii Române (Academia Română); via dlr1.solirom.ro",
+    "conjugare": "Romanian verb-conjugation rules and seed forms from DEX dump.",
+    "pluralro": "Romanian pluralization rules; deterministic, no network.",
+}
+# Where a provider's document on a word lies; {} stands for the word.
+URL = {
+    "doom": "https://doom.lingv.ro/cautare/q/{}",
+    "dexonline": "https://dexonline.ro/definitie/{}/json",
+    "mdex": "https://m.dex.ro/?word={}",
+    "wiktionary": "https://ro.wiktionary.org/w/api.php?action=parse&page={}&prop=wikitext%7Csections&format=json&formatversion=2&redirects=1",
+    "dlr": "https://dlr1.solirom.ro/index.php?cuv={}",
+    "conjugare": "urn:local:conjugare:rules",
+    "pluralro": "urn:local:pluralro",
+}
 POS_UNKNOWN = "unknown"
 
 
 def providers(spark: SparkSession, keys: frozenset[str] = frozenset()) -> DataFrame:
     """The registry; keys: providers that an access key enables."""
-    rows = [(*p[:7], p[7] or p[0] in keys, p[8], i) for i, p in enumerate(PROVIDERS)]
-    names = "provider_id string, name string, license string, capabilities array<string>, ttl_days int, min_interval_ms int, concurrency int, enabled boolean, authority int, place int"
+    rows = [(*p[:7], p[7] or p[0] in keys, p[8], i, ATTRIBUTION[p[0]], URL.get(p[0])) for i, p in enumerate(PROVIDERS)]
+    names = "provider_id string, name string, license string, capabilities array<string>, ttl_days int, min_interval_ms int, concurrency int, enabled boolean, authority int, place int, attribution string, url string"
     return spark.createDataFrame(rows, names)
 
 
 def authority_of(source_name: Column) -> Column:
     pairs = [F.lit(x) for kv in AUTHORITY.items() for x in kv]
     return F.coalesce(F.create_map(*pairs)[source_name], F.lit(DEFAULT_AUTHORITY))
+
+
+def year_of(source_name: Column) -> Column:
+    """The year of a dictionary; null where none is known."""
+    return F.create_map(*[F.lit(x) for kv in YEAR.items() for x in kv])[source_name]

@@ -77,16 +77,6 @@ def breaker_step(most: int = 5, open_ms: int = 60_000) -> Step:
     return step
 
 
-def pacing_step(interval_ms: int) -> Step:
-    """When a call may start: not before its time and an interval after the one before."""
-
-    def step(state: tuple | None, at: int, _: Any) -> tuple[tuple, int]:
-        start = at if state is None else max(at, state[0] + interval_ms)
-        return (start,), start
-
-    return step
-
-
 def token_bucket(rows: DataFrame, key: str, ts_ms: str, tie: str, per_minute: int = 60) -> DataFrame:
     return ordered_scan(rows, key, ts_ms, tie, None, bucket_step(per_minute), "allowed", "boolean")
 
@@ -96,7 +86,14 @@ def circuit_breaker(rows: DataFrame, key: str, ts_ms: str, tie: str, failed: str
 
 
 def pace(rows: DataFrame, key: str, ts_ms: str, tie: str, interval_ms: int) -> DataFrame:
-    return ordered_scan(rows, key, ts_ms, tie, None, pacing_step(interval_ms), "start_ms", "long")
+    """rows with start_ms: when a call may start, not before its time and an interval after the one before.
+
+    The n-th call of a key starts n intervals after the latest of (time - n intervals) so far: a running maximum.
+    """
+    order = Window.partitionBy(key).orderBy(ts_ms, tie)
+    ahead = F.row_number().over(order).cast("long") * interval_ms
+    rows = rows.filter(F.col(key).isNotNull())
+    return rows.withColumn("start_ms", F.col(ts_ms) - ahead).withColumn("start_ms", F.max("start_ms").over(order.rowsBetween(Window.unboundedPreceding, 0)) + ahead)
 
 
 def daily_quota(rows: DataFrame, key: str, ts: str, tie: str, quota: int) -> DataFrame:
