@@ -249,7 +249,7 @@ class Encoder:
     encoded together, and cut apart where a token ends a word. most: bytes for the words that are kept.
     """
 
-    def __init__(self, path: str, most: int = 64 << 20) -> None:
+    def __init__(self, path: str, most: int = 96 << 20) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -337,7 +337,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, nodes: int |
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs (doc_id, text).
 
     nodes, most, steps: how far the search goes where best fit misses the lower bound (None: to the optimum).
-    Null and empty texts are one piece, the end id. Texts are encoded in parts of a million characters. Repeated rows and
+    Null and empty texts are one piece, the end id. Texts are encoded in parts of four million characters. Repeated rows and
     rows without an id are packed as often as they come; an empty table gives no rows. Other columns of docs are not
     carried. The driver sees one counter for each length; the table of places that executors get has
     at most a few rows for each of them.

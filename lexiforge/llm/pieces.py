@@ -35,7 +35,7 @@ codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 class Pieces:
     """The pieces of a model file, and the ids of words seen so far. most: bytes for the words that are kept."""
 
-    def __init__(self, path: str, most: int = 64 << 20) -> None:
+    def __init__(self, path: str, most: int = 96 << 20) -> None:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -119,12 +119,12 @@ class Pieces:
         return np.array([begin[i] for i in kept]), np.array([end[i] for i in kept])
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode words (blanks as marks), about a megabyte at a time."""
+        """Encode words (blanks as marks), about two megabytes at a time: the search for all pieces costs the same for any size."""
         out, part, size = {}, [], 0
         for w in words:
             part.append(w)
             size += len(w)
-            if size > 1 << 20:
+            if size > 2 << 20:
                 out |= self._encode(part)
                 part, size = [], 0
         return out | self._encode(part) if part else out
@@ -229,7 +229,7 @@ def model(path: str) -> Pieces:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 and decoded_sha256 for each row of docs (doc_id, text), over whole texts.
 
-    Null and empty texts have no ids. Texts longer than a million characters are encoded in parts, words of any length in
+    Null and empty texts have no ids. Texts longer than four million characters are encoded in parts, words of any length in
     time that grows little faster than they. Repeated rows come back as often as they came; an empty table gives no rows. Other
     columns are not carried. decoded_sha256 is of the text that the ids decode to.
     """

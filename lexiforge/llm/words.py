@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 #: Texts longer than this are encoded in parts.
-PART = 1 << 20
+PART = 4 << 20
 
 
 def parts(text: str, gap: re.Pattern, size: int | None = None) -> Iterator[str]:
