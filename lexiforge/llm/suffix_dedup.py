@@ -420,7 +420,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None =
     across = blocks.join(shared, ["d1", "d2"]).mapInPandas(_unpack, "level int, anchor long, span long, d1 long, d2 long, rel int, open boolean, digest long")
     across = across.repartition(partitions(spark), "d1", "digest")
     runs = runs.unionByName(across.mapInPandas(lambda it: _merge_shards(it, lengths), "level int, anchor long, span long, rel int, size int"))
-    listed = runs.groupBy("anchor", "span").agg(F.collect_set(F.struct("level", "rel", "size")).alias("runs"))  # at most as many as a span has windows
+    # at most as many as a span has windows; written, so that both sides of the join are dealt anew and Spark can split a hot span's rows
+    listed = spool(runs.groupBy("anchor", "span").agg(F.collect_set(F.struct("level", "rel", "size")).alias("runs")))
     ends = F.transform("runs", lambda r: F.struct(r["level"].alias("level"), (F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
     covered = records.join(listed, ["anchor", "span"]).groupBy("k1", "k2").agg(F.flatten(F.collect_set(ends)).alias(runs_at))
     out = keyed.join(covered.select(F.col("k1").alias(k1), F.col("k2").alias(k2), runs_at), [k1, k2], "left").drop(k1, k2)
