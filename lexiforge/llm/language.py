@@ -32,14 +32,17 @@ def sample(docs: DataFrame, per_language: int, most_bytes: int) -> DataFrame:
     A text that alone has more than most_bytes is learned from as far as they go.
     """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.select("lang", (F.octet_length("text") > 32768).alias("long"), F.xxhash64("doc_id", "text").alias("u"), "text")
-    drawn = least_by_hash(rows.withColumn("group", F.struct("lang", "long")), "group", F.col("u"), per_language)
+    size = F.octet_length("text").cast("long")
+    rows = rows.select("lang", size.alias("size"), (size > 32768).alias("long"), F.xxhash64("doc_id", "text").alias("u"), "text")
+    drawn = least_by_hash(rows.drop("text").withColumn("group", F.struct("lang", "long")), "group", F.col("u"), per_language)
     # rows that repeat are one: partial sums come first, so a row with very many copies is one of each task
-    drawn = drawn.groupBy("lang", "long", "u").agg(F.min("text").alias("text"))
+    drawn = drawn.groupBy("lang", "long", "u").agg(F.min("size").alias("size"))
     order = Window.partitionBy("lang").orderBy("long", "u")
-    before = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = drawn.withColumns({"r": F.row_number().over(order), "before": before}).filter((F.col("r") <= per_language) & (F.col("before") < most_bytes))
-    return drawn.select("lang", F.substring("text", 1, most_bytes).alias("text")).orderBy("lang", "r")
+    # texts are read for the rows that were drawn alone: per_language of each language
+    some = rows.join(F.broadcast(drawn.select("lang", "u", "r")), ["lang", "u"])
+    return some.groupBy("lang", "u").agg(F.min("r").alias("r"), F.min(F.substring("text", 1, most_bytes)).alias("text")).select("lang", "text", "r").orderBy("lang", "r").drop("r")
 
 
 def fit(langs: list[str], texts: list[str], rows: int | None = 8192, least: int = 6) -> dict:
