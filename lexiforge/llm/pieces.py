@@ -79,9 +79,10 @@ class Pieces:
             ends.append(low)
         many = ends[1] - ends[0]
         at = sa[np.repeat(ends[0] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
-        key, ids = at * (self.wide + 1) + np.repeat(self.lengths, many), np.repeat(self.ids, many)
-        order = np.argsort(key, kind="stable")
-        return key[order], ids[order]
+        # one number for position, length and piece sorts faster than places would
+        edges = (at * (self.wide + 1) + np.repeat(self.lengths, many)) << 20 | np.repeat(self.ids, many)
+        edges.sort()
+        return edges >> 20, edges & ((1 << 20) - 1)
 
     def _relax(self, stop: np.ndarray, start: np.ndarray, rank: np.ndarray, keys: memoryview, ranks: memoryview) -> tuple[np.ndarray, np.ndarray]:
         """Join the symbols of one word, the best score first, then the leftmost; a heap holds the pairs."""
