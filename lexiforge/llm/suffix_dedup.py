@@ -403,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None =
     where = F.struct("k1", "k2", "start")
     spans_of = records.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last"), *[F.max(c).alias(c) for c in ("m", "size", "off")])
     counted = spool(spans_of)
-    places = counted.groupBy("anchor").agg(F.sum(F.least("n", F.lit(2))).alias("k"))
+    places = spool(counted.groupBy("anchor").agg(F.sum(F.least("n", F.lit(2))).alias("k")))
     two = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at")), F.struct(F.lit(1).alias("nth"), F.col("last").alias("at"))))
     two = two.otherwise(F.array(F.struct(F.lit(0).alias("nth"), F.col("first").alias("at"))))
     wanted = counted.join(places, "anchor").select("anchor", "span", "k", "m", "size", "off", F.explode(two).alias("x")).select("anchor", "span", "k", "m", "size", "off", "x.nth", "x.at.*")
