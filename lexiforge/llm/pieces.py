@@ -35,7 +35,7 @@ codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 class Pieces:
     """The pieces of a model file, and the ids of words seen so far. most: bytes for the words that are kept."""
 
-    def __init__(self, path: str, most: int = 96 << 20) -> None:
+    def __init__(self, path: str, most: int = 192 << 20) -> None:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
