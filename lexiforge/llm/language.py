@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiforge.llm.arrow_text import raw
 from lexiforge.llm.common import fresh, least_by_hash
@@ -163,30 +162,31 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
     Null texts, texts without a letter, and all texts if nothing was learned get `und` and score 0. Ties go to the
     name that sorts first. Texts of any length are read half a megabyte at a time. Columns of docs named lang_pred or
-    score are replaced, others pass through. Rows that repeat come back as often; an empty table gives no rows.
+    score are replaced, others pass through; Python workers get the texts alone and send none back, since each of a task's
+    batches (64 MB) would be held twice. Rows that repeat come back as often; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
-    (letters_at,) = fresh(docs.columns, "letters")
-    docs = docs.withColumn(letters_at, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    kept = [f for f in docs.schema.fields if f.name != letters_at]
-    out_type = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    (told_at,) = fresh(docs.columns, "told")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for x in batches:
-            letters = x.column(letters_at).to_numpy(zero_copy_only=False).astype(bool)
             names, score = np.full(len(x), "und", object), np.zeros(len(x))
             if m is not None and len(x):
-                bits = code_lengths(*raw(x.column("text")), m)
+                bits = code_lengths(*raw(x), m)
                 best = bits.argmin(1)
-                lead = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                names = np.where(letters, np.array(m["names"], object)[best], "und")
-                score = np.where(letters, 1 / lead, 0.0)
-            cols = [x.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
-
-    return docs.mapInArrow(run, out_type)
+                names = np.array(m["names"], object)[best]
+                score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    # a filter on the result must not run it once more
+    told = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    out = docs.withColumn(told_at, told("text"))
+    at = F.col(told_at)
+    lang, score = F.when(letters, at["lang_pred"]).otherwise("und"), F.when(letters, at["score"]).otherwise(0.0)
+    return out.withColumns({"lang_pred": lang, "score": score}).drop(told_at)
 
 
 def learn(docs: DataFrame, per_language: int = 600, most_bytes: int = 8 << 20, rows: int | None = 8192, least: int = 6) -> dict | None:

@@ -359,6 +359,25 @@ def test_language(spark):
     assert language.predict(told.limit(0), model).count() == 0
 
 
+def test_language_sends_no_text_back(spark):
+    """Python workers return names and scores alone, and each text is told once though the result is filtered."""
+    rows = [(i, f"der hund und die katze {i} " * 400, "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    out = language.predict(docs, language.fit(["de", "fr"] * 9, ["der hund", "le chien"] * 9)).filter("lang_pred = 'de' AND score >= 0.5")
+    assert sorted(tuple(r)[:3] for r in out.collect()) == rows
+    sent = {"pythonDataSent": 0, "pythonDataReceived": 0}
+    nodes = [out._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        for k in sent:
+            if node.metrics().contains(k):
+                sent[k] += node.metrics().apply(k).value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    size = sum(len(t) for _, t, _ in rows)
+    assert size <= sent["pythonDataSent"] < 1.5 * size
+    assert 0 < sent["pythonDataReceived"] < size / 20
+
+
 def test_code_lengths():
     """Against a loop over bytes and contexts, with bytes that the sample never holds and a language that some contexts lack."""
     rng = random.Random(6)
