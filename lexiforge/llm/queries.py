@@ -17,7 +17,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.llm.suffix_dedup import PASSAGE, remove_repeats
 
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE, words=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")
 
 

@@ -14,7 +14,10 @@ of a document with the same anchor form a span. Then:
    equal windows of different shards are found by binary search.
 4. Covered spans are joined back to all documents that hold them, which lose the bytes.
 
-A second, shorter length (passage) can be looked for by the same arrays; it is reported and not cut.
+A second, shorter length (passage) can be looked for by the same arrays; it is reported and not cut. Passages can be told by
+words, too (words): a document without such a string is searched for runs of over so many words that another document holds
+byte for byte. Their windows have fewer than `passage` bytes and are dealt by the least hash of eight words; counts of that
+and a bitmap of fixed size leave out what stands once, equal windows are found by their digests.
 """
 
 from __future__ import annotations
@@ -332,6 +335,122 @@ def _merge_shards(batches: Iterator[pd.DataFrame], lengths: list[int]) -> Iterat
     yield pd.DataFrame({"level": x["level"], "anchor": x["anchor"], "span": x["span"], "rel": x["rel"], "size": np.array(lengths, np.int32)[x["level"]]})
 
 
+# ---- runs of words ----------------------------------------------------------------------------------------------
+
+#: Words in a gram; bits of the map of anchors that stand twice, and of each of its parts.
+WORDS, MAP, PART = 8, 26, 20
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse modulo 2^64, to the powers that a block of texts can need."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            _POWERS.append(np.cumprod(np.r_[np.uint64(1), np.full(CHUNK << 1, base, np.uint64)], dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
+
+
+def word_windows(buf: np.ndarray, offsets: np.ndarray, words: int, under: int) -> dict[str, np.ndarray]:
+    """Windows of words + 1 words in fewer than `under` bytes: text (index), start, stop (bytes in it), anchor (hash)."""
+    out: dict[str, list] = {k: [np.zeros(0, t)] for k, t in (("text", np.int64), ("start", np.int64), ("stop", np.int64), ("anchor", np.uint64))}
+    pieces: list[tuple[int, int, int, int, int]] = []  # text, first byte, last byte, first and last start of windows
+    for i in np.flatnonzero(np.diff(offsets) > 2 * words).tolist():
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        pieces += [(i, max(a, at - 1), min(b, at + CHUNK + under + 1), at, min(b, at + CHUNK)) for at in range(a, b, CHUNK)]
+    up, down = _powers()
+    gap, at = np.full(1, 10, np.uint8), 0
+    while at < len(pieces):
+        group, size = [], 0
+        while at < len(pieces) and (not group or size + pieces[at][2] - pieces[at][1] < CHUNK):
+            group.append(pieces[at])
+            size += pieces[at][2] - pieces[at][1] + 1
+            at += 1
+        whole = np.concatenate([x for _, a, b, _, _ in group for x in (gap, buf[a:b])] + [gap])
+        begins = np.cumsum([1, *(b - a + 1 for _, a, b, _, _ in group)])[:-1]
+        inside = np.r_[(whole != 32) & ((whole < 9) | (whole > 13)), False]
+        s, e = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        if len(s) <= words:
+            continue
+        sums = np.r_[np.uint64(0), np.cumsum(_TABLE[whole] * up[: len(whole)], dtype=np.uint64)]
+        g = (sums[e[WORDS - 1 :]] - sums[s[: len(s) - WORDS + 1]]) * down[s[: len(s) - WORDS + 1]]
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        low = np.uint64((1 << 20) - 1)
+        least = (_window_min((g & ~low) | np.arange(len(g), dtype=np.uint64), words + 2 - WORDS) & low).astype(np.int64)
+        first, last = s[: len(s) - words], e[words:]
+        owner = np.searchsorted(begins, first, "right") - 1
+        shift = np.array([x[1] for x in group], np.int64) - begins  # from a place in the block to one in buf
+        start, stop = first + shift[owner], last + shift[owner]
+        lows, highs, ends = (np.array([x[k] for x in group], np.int64)[owner] for k in (3, 4, 2))
+        on = np.flatnonzero((last - first < under) & (start >= lows) & (start < highs) & (stop <= ends))
+        text = np.array([x[0] for x in group], np.int64)[owner[on]]
+        out["text"].append(text)
+        out["start"].append(start[on] - offsets[text])
+        out["stop"].append(stop[on] - offsets[text])
+        out["anchor"].append(g[least[on]])
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _word_anchors(batches: Iterator[pa.RecordBatch], words: int, under: int) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        w = word_windows(*raw(x.column("text")), words, under)
+        new = np.r_[True, (w["anchor"][1:] != w["anchor"][:-1]) | (w["text"][1:] != w["text"][:-1])][: len(w["text"])]
+        pairs = np.unique(np.rec.fromarrays([w["text"][new], w["anchor"][new]], names="text,anchor"))
+        ends = np.searchsorted(pairs["text"], np.arange(len(x) + 1)).astype(np.int32)
+        some = pa.array(np.diff(ends) > 0)
+        anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(pairs["anchor"]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([x.column("k1"), x.column("k2"), anchors], names=["k1", "k2", "anchors"]).filter(some)
+        pa.default_memory_pool().release_unused()
+
+
+def _word_digests(batches: Iterator[pa.RecordBatch], words: int, under: int, bitmap) -> Iterator[pa.RecordBatch]:  # noqa: ANN001  a broadcast
+    import xxhash
+
+    bits = np.frombuffer(bitmap.value, np.uint8)
+    for x in batches:
+        buf, offsets = raw(x.column("text"))
+        w = word_windows(buf, offsets, words, under)
+        slot = w["anchor"] & np.uint64((1 << MAP) - 1)
+        on = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        text, start, stop = (w[k][on] for k in ("text", "start", "stop"))
+        view, at = memoryview(np.ascontiguousarray(buf)), offsets[text]
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((at + start).tolist(), (at + stop).tolist(), strict=True)), np.uint64, len(text))
+        rows = pa.array(text)
+        yield pa.RecordBatch.from_arrays(
+            [*(x.column(c).take(rows) for c in ("u", "k1", "k2")), pa.array(digests.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
+            names=["u", "k1", "k2", "digest", "start", "stop"],
+        )
+        pa.default_memory_pool().release_unused()
+
+
+def _map_part(x: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << PART, np.uint8)
+    bits[x["slot"].to_numpy() & ((1 << PART) - 1)] = 1
+    return pd.DataFrame({"part": x["part"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _word_runs(own: DataFrame, covered: DataFrame, words: int, under: int) -> DataFrame:
+    """k1, k2 and runs of the documents that covered lacks and that share over so many words with another."""
+    spark = own.sparkSession
+    anchors = own.mapInArrow(lambda it: _word_anchors(it, words, under), "k1 long, k2 long, anchors array<long>")
+    known = covered.select("k1", "k2", F.lit(True).alias("known"))
+    dealt = anchors.join(known, ["k1", "k2"], "left").select(F.col("known").isNull().alias("asks"), F.explode("anchors").alias("anchor"))
+    often = dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).filter("n > 1 AND asks")
+    slots = often.select(F.expr(f"anchor & {(1 << MAP) - 1}").alias("slot")).distinct().withColumn("part", F.shiftright("slot", PART))
+    whole = bytearray(1 << (MAP - 3))
+    for r in slots.groupBy("part").applyInPandas(_map_part, "part long, bits binary").collect():  # at most 2^26 bits
+        whole[r["part"] << (PART - 3) : (r["part"] + 1) << (PART - 3)] = r["bits"]
+    bitmap = spark.sparkContext.broadcast(bytes(whole))
+    each = own.withColumn("u", F.monotonically_increasing_id())  # rows that repeat are documents each
+    windows = spool(each.mapInArrow(lambda it: _word_digests(it, words, under, bitmap), "u long, k1 long, k2 long, digest long, start int, stop int"))
+    shared = windows.groupBy("digest").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("digest")
+    found = windows.join(covered.select("k1", "k2"), ["k1", "k2"], "left_anti").join(shared, "digest", "left_semi")
+    run = F.struct(F.lit(1).alias("level"), "start", "stop")
+    return found.groupBy("k1", "k2").agg(F.collect_set(run).alias("runs"))
+
+
 # ---- the operator -----------------------------------------------------------------------------------------------
 
 
@@ -371,11 +490,13 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: str, runs_at: str, names: l
         pa.default_memory_pool().release_unused()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, most: int = 32) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, most: int = 32, words: int | None = None) -> DataFrame:
     """docs with text less every repeated byte, and n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes.
 
     length: of the strings whose bytes go. passage: a shorter length to look for as well; n_passage is the number of
-    the input's bytes in such strings (without it the column is absent). most: places of an anchor in one shard.
+    the input's bytes in such strings (without it the column is absent). most: places of an anchor in one shard. words: where
+    a document has no such string, n_passage is the number of its bytes in runs of over so many words (at least eight, parted by
+    blanks and U+0009 to U+000D) that another document holds, of any length in bytes; needs passage.
 
     Where a cut splits a character, the text loses the rest of it (kept_sha256 is of the bytes). Null and empty texts are
     empty and lose nothing. A text of any length is looked at in pieces of half a megabyte that overlap; one text
@@ -424,6 +545,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None =
     listed = spool(runs.groupBy("anchor", "span").agg(F.collect_set(F.struct("level", "rel", "size")).alias("runs")))
     ends = F.transform("runs", lambda r: F.struct(r["level"].alias("level"), (F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
     covered = records.join(listed, ["anchor", "span"]).groupBy("k1", "k2").agg(F.flatten(F.collect_set(ends)).alias(runs_at))
+    if passage and words:
+        covered = spool(covered.withColumnRenamed(runs_at, "runs"))
+        covered = covered.unionByName(_word_runs(own, covered, words, passage)).withColumnRenamed("runs", runs_at)
     out = keyed.join(covered.select(F.col("k1").alias(k1), F.col("k2").alias(k2), runs_at), [k1, k2], "left").drop(k1, k2)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kinds = dict(zip(["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"], ["long", "long", "long", "string", "long"], strict=True))

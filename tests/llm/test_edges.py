@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns for every operator of the subpackage."""
 
 import random
+import re
 import sys
 import time
 import zlib
@@ -116,6 +117,39 @@ def test_suffix_dedup_at_random(spark):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) == (n, gone, spans, brute.sha(kept), short[2])
 
 
+def test_passages_of_words(spark, tmp_path):
+    """The query names every document that shares over 50 words with another, of whatever length in bytes."""
+    from lexiforge.llm import queries
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    short = " ".join(word()[:3] for _ in range(51))
+    tiny, fifty, twice = " ".join("ab"[i % 2] + "cdefg"[i // 7 % 5] for i in range(51)), text(50), " ".join(word()[:3] for _ in range(51))
+    texts = [f"{text(90)} {p} {text(70)}" for p in (short, short, tiny, tiny, fifty, fifty, f"{twice} {text(9)} {twice}", text(40))]
+    texts += [short, None, "", f"{text(9)}x{short}", short]
+    want = []
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    windows = [{(t or "").encode()[w[i][0] : w[i + 50][1]]: (w[i][0], w[i + 50][1]) for i in range(len(w) - 50)} for t, w in zip(texts, found, strict=True)]
+    for k, mine in enumerate(windows):
+        covered = {x for d, (a, b) in mine.items() if any(d in other for j, other in enumerate(windows) if j != k) for x in range(a, b)}
+        want.append(len(covered))
+    assert len(short) < 320 and len(tiny) < 160 and [bool(n) for n in want] == [True] * 4 + [False] * 4 + [True, False, False, False, True]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = suffix_dedup.CHUNK
+    for size in (before, 600):
+        suffix_dedup.CHUNK = size
+        try:
+            buf = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+            got = suffix_dedup.word_windows(buf, np.cumsum([0, *(len(t or "") for t in texts)]), 50, 320)
+        finally:
+            suffix_dedup.CHUNK = before
+        every = {(k, a, b) for k, mine in enumerate(windows) for d, (a, b) in mine.items() if b - a < 320}
+        assert {(k, a, b) for k, a, b in zip(got["text"].tolist(), got["start"].tolist(), got["stop"].tolist(), strict=True)} >= every
+    rows = {r["doc_id"]: r["n_passage"] for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80))
 def test_suffix_arrays(symbols):
