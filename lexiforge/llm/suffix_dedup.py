@@ -17,7 +17,8 @@ of a document with the same anchor form a span. Then:
 A second, shorter length (passage) can be looked for by the same arrays; it is reported and not cut. Passages can be told by
 words, too (words): a document without such a string is searched for runs of over so many words that another document holds
 byte for byte. Their windows have fewer than `passage` bytes and are dealt by the least hash of eight words; counts of that
-and a bitmap of fixed size leave out what stands once, equal windows are found by their digests.
+and a bitmap of fixed size leave out what stands once, equal windows are found by their digests. Without `passage` such runs
+are cut.
 """
 
 from __future__ import annotations
@@ -431,12 +432,15 @@ def _map_part(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": x["part"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-def _word_runs(own: DataFrame, covered: DataFrame, words: int, under: int) -> DataFrame:
-    """k1, k2 and runs of the documents that covered lacks and that share over so many words with another."""
+def _word_runs(own: DataFrame, covered: DataFrame | None, words: int, under: int, level: int) -> DataFrame:
+    """k1, k2 and runs, of that level, of the documents that covered lacks (None: of all) and that share over so many words with another."""
     spark = own.sparkSession
     anchors = own.mapInArrow(lambda it: _word_anchors(it, words, under), "k1 long, k2 long, anchors array<long>")
-    known = covered.select("k1", "k2", F.lit(True).alias("known"))
-    dealt = anchors.join(known, ["k1", "k2"], "left").select(F.col("known").isNull().alias("asks"), F.explode("anchors").alias("anchor"))
+    if covered is None:
+        dealt = anchors.select(F.lit(True).alias("asks"), F.explode("anchors").alias("anchor"))
+    else:
+        known = covered.select("k1", "k2", F.lit(True).alias("known"))
+        dealt = anchors.join(known, ["k1", "k2"], "left").select(F.col("known").isNull().alias("asks"), F.explode("anchors").alias("anchor"))
     often = dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).filter("n > 1 AND asks")
     slots = often.select(F.expr(f"anchor & {(1 << MAP) - 1}").alias("slot")).distinct().withColumn("part", F.shiftright("slot", PART))
     whole = bytearray(1 << (MAP - 3))
@@ -446,8 +450,12 @@ def _word_runs(own: DataFrame, covered: DataFrame, words: int, under: int) -> Da
     each = own.withColumn("u", F.monotonically_increasing_id())  # rows that repeat are documents each
     windows = spool(each.mapInArrow(lambda it: _word_digests(it, words, under, bitmap), "u long, k1 long, k2 long, digest long, start int, stop int"))
     shared = windows.groupBy("digest").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("digest")
-    found = windows.join(covered.select("k1", "k2"), ["k1", "k2"], "left_anti").join(shared, "digest", "left_semi")
-    run = F.struct(F.lit(1).alias("level"), "start", "stop")
+    if covered is None:
+        # written, so that Spark can split the rows of a digest that very many documents hold
+        found = windows.join(spool(shared), "digest", "left_semi")
+    else:
+        found = windows.join(covered.select("k1", "k2"), ["k1", "k2"], "left_anti").join(shared, "digest", "left_semi")
+    run = F.struct(F.lit(level).alias("level"), "start", "stop")
     return found.groupBy("k1", "k2").agg(F.collect_set(run).alias("runs"))
 
 
@@ -490,13 +498,14 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: str, runs_at: str, names: l
         pa.default_memory_pool().release_unused()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, most: int = 32, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, most: int = 32, words: int | None = None, beside: bool = False) -> DataFrame:
     """docs with text less every repeated byte, and n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes.
 
     length: of the strings whose bytes go. passage: a shorter length to look for as well; n_passage is the number of
     the input's bytes in such strings (without it the column is absent). most: places of an anchor in one shard. words: where
     a document has no such string, n_passage is the number of its bytes in runs of over so many words (at least eight, parted by
-    blanks and U+0009 to U+000D) that another document holds, of any length in bytes; needs passage.
+    blanks and U+0009 to U+000D) that another document holds, of any length in bytes. Without passage the bytes of such runs go,
+    from documents without a string of `length` or, with beside, from all.
 
     Where a cut splits a character, the text loses the rest of it (kept_sha256 is of the bytes). Null and empty texts are
     empty and lose nothing. A text of any length is looked at in pieces of half a megabyte that overlap; one text
@@ -545,9 +554,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None =
     listed = spool(runs.groupBy("anchor", "span").agg(F.collect_set(F.struct("level", "rel", "size")).alias("runs")))
     ends = F.transform("runs", lambda r: F.struct(r["level"].alias("level"), (F.col("start") + r["rel"]).alias("start"), (F.col("start") + r["rel"] + r["size"]).alias("stop")))
     covered = records.join(listed, ["anchor", "span"]).groupBy("k1", "k2").agg(F.flatten(F.collect_set(ends)).alias(runs_at))
-    if passage and words:
+    if words:
         covered = spool(covered.withColumnRenamed(runs_at, "runs"))
-        covered = covered.unionByName(_word_runs(own, covered, words, passage)).withColumnRenamed("runs", runs_at)
+        more = _word_runs(own, None if beside and not passage else covered, words, passage or length, 1 if passage else 0)
+        covered = covered.unionByName(more)
+        if beside and not passage:
+            covered = covered.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        covered = covered.withColumnRenamed("runs", runs_at)
     out = keyed.join(covered.select(F.col("k1").alias(k1), F.col("k2").alias(k2), runs_at), [k1, k2], "left").drop(k1, k2)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kinds = dict(zip(["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"], ["long", "long", "long", "string", "long"], strict=True))

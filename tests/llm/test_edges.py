@@ -150,6 +150,27 @@ def test_passages_of_words(spark, tmp_path):
     assert [rows[i] for i in range(len(texts))] == want
 
 
+def test_pipeline_cuts_short_passages_of_words(spark, sf_dir):
+    """Runs of over 50 words that two documents share go whatever their bytes, with `beside` also next to a longer repeat; 50 words stay."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    text = lambda n, k: " ".join("".join(rng.choice("abcdefgh") for _ in range(k)) for _ in range(n))
+    short, fifty, long, twice = text(51, 3), text(50, 3), text(60, 7), text(51, 3)
+    assert len(short) < p.PASSAGE_BYTES < len(long)
+    kinds = [[short], [short, long], [long], [fifty], [fifty], [twice, twice], [short, fifty]]
+    own = [[text(30, 5) for _ in range(len(k) + 1)] for k in kinds]
+    texts = [" ".join(x for pair in zip(o, [*k, ""], strict=True) for x in pair).strip() for o, k in zip(own, kinds, strict=True)]
+    rows = [(i, t, "l", "s", len(t)) for i, t in enumerate(texts)] + [(90, None, None, None, None), (91, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    less = {i: t.replace(f" {long} ", "") for i, t in enumerate(texts)}
+    want = {i: t.replace(short, "").split() for i, t in less.items()} | {90: [], 91: []}
+    every = suffix_dedup.remove_repeats(docs, length=p.PASSAGE_BYTES, words=p.PASSAGE_WORDS, beside=True)
+    assert {r["doc_id"]: r["text"].split() for r in every.collect()} == want
+    got = {r["doc_id"]: (r["text"] or "").split() for r in p.suffix_dedup(spark, docs, sf_dir).collect()}
+    assert got == want | {1: less[1].split()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80))
 def test_suffix_arrays(symbols):
