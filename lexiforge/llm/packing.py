@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import partitions, salt_of, spool
+from lexiforge.llm import words
 from lexiforge.llm.words import WordMemory
 
 CAPACITY, END = 4096, 1
@@ -239,17 +240,47 @@ def _class(kind: str, top: int = 0x180) -> str:
 _ODD = re.compile("[İƀ-\U0010ffff\x1c-\x1f]|<\\|")
 _SPACE = "\\t-\\r \\x85\\xa0"
 _GAP = re.compile(f"[{_SPACE}]")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
+#: Blank, letter, number or other (0 to 3): of the characters that are not odd, and of single bytes.
+_KIND = np.array([0 if _GAP.match(chr(c)) else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x180)], np.uint8)
+_KIND_OF_BYTE = np.r_[_KIND[:128], np.zeros(128, np.uint8)]
+#: What is encoded together, in characters; slots and ids of the table of short words.
+BLOCK, SLOTS, POOL = 1 << 19, 1 << 19, 1 << 22
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def cut_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a lower-case text without odd characters start and stop; its UTF-8 bytes end with three line feeds at least.
+
+    Words are 's 't 're 've 'm 'll 'd, runs of letters, single numbers, and runs of what else is not blank.
+    """
+    kind = _KIND_OF_BYTE[buf]
+    two = np.flatnonzero(buf >= 0xC0)
+    kind[two] = kind[two + 1] = _KIND[(buf[two].astype(np.int64) & 31) << 6 | buf[two + 1] & 63]
+    new = np.r_[True, kind[1:] != kind[:-1]] | (kind == 2)
+    new[two + 1] = False
+    at = np.flatnonzero(new & (buf == 39))  # a run of one apostrophe and a letter is looked at; longer runs have no letter next
+    at = at[kind[at + 1] == 1]
+    a, b = buf[at + 1], buf[at + 2]
+    one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+    more = ((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l")))
+    at, stop = at[one | more], (at + np.where(one, 2, 3))[one | more]
+    new[at + 1] = False
+    new[stop] |= kind[stop] == 1
+    bounds = np.flatnonzero(new)
+    on = np.flatnonzero(kind[bounds[:-1]])
+    return bounds[on], bounds[on + 1]
 
 
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits texts into words before it merges, so a word's ids are kept and looked up. Words that are new are
-    encoded together, and cut apart where a token ends a word. most: bytes for the words that are kept.
+    The tokenizer splits texts into words before it merges, so a word's ids are kept and looked up: those of up to 16 bytes in
+    a table with one slot for each hash, where the whole word is compared, the others and those whose slot has another
+    word in a dictionary. Words that are new are encoded together, and cut apart where a token ends a word. most: bytes
+    for the words of the dictionary.
     """
 
-    def __init__(self, path: str, most: int = 96 << 20) -> None:
+    def __init__(self, path: str, most: int = 48 << 20) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -261,18 +292,22 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memory = WordMemory(self._learn, most)
+        # of each slot: the word's bytes in two numbers, its size (0: none), where its ids are in the pool, how many
+        self.low, self.high = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.size, self.place, self.many = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(POOL, "<u4"), 0
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         out = {}
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # never seen; each word by itself then
-                out.update((w, self._slow(w)) for w in part)
+                out.update((w, self._slow(w.decode())) for w in part)
                 continue
             data, start = ids.tobytes(), 0
             for word, stop in zip(part, (cuts * 4).tolist(), strict=True):
@@ -280,10 +315,78 @@ class Encoder:
                 start = stop
         return out
 
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without odd characters, looked up together."""
+        coded = [t.lower().encode() for t in texts]
+        data = b"\n".join([*coded, b"\n" * 16])
+        buf = np.frombuffer(data, np.uint8)
+        start, stop = cut_words(buf)
+        size = stop - start
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        low = eight[start] & _KEEP[np.minimum(size, 8)]
+        high = eight[np.minimum(start + 8, len(data) - 8)] & _KEEP[np.clip(size - 8, 0, 8)]
+        h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        known = (self.low[slot] == low) & (self.high[slot] == high) & (self.size[slot] == size) & (size <= 16)
+        place, many = self.place[slot].astype(np.int64), self.many[slot].astype(np.int64)
+        pool, new = self.pool, np.flatnonzero(~known)
+        if len(new):
+            # one of each hash is looked up, and those that differ from the one of their hash
+            _, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[first][back]
+            apart = (low[new] != low[one]) | (high[new] != high[one]) | (size[new] != size[one]) | (size[new] > 16)
+            asked = np.r_[new[first], new[apart]]
+            ids = self.memory.each([data[a:b] for a, b in zip(start[asked].tolist(), stop[asked].tolist(), strict=True)])
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            found = np.frombuffer(b"".join(ids), "<u4")
+            if self.used + len(found) > len(pool):  # the table begins anew; words that were found above stay in the old pool
+                self.size[:] = 0
+                self.pool, self.used = np.zeros(max(POOL, len(found)), "<u4"), 0
+            base = self.used
+            self.pool[base : base + len(found)] = found
+            self.used += len(found)
+            if self.pool is not pool:
+                pool, base = np.r_[pool, found], len(pool)
+            at = np.cumsum(counts) - counts
+            back[apart] = len(first) + np.arange(apart.sum())
+            place[new], many[new] = base + at[back], counts[back]
+            kept = np.flatnonzero(size[asked] <= 16)
+            _, last = np.unique(slot[asked[kept]], return_index=True)
+            kept = kept[last]
+            to, word = slot[asked[kept]], asked[kept]
+            self.low[to], self.high[to], self.size[to] = low[word], high[word], size[word]
+            self.place[to], self.many[to] = self.used - len(found) + at[kept], counts[kept]
+        ends = np.cumsum(many)
+        out = pool[np.repeat(place - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
+        cuts = (4 * np.r_[0, ends][np.searchsorted(start, begins)]).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_ODD.search(t)) for t in texts]
-        plain = iter(self.memory.encode([t.lower() for t, o in zip(texts, odd, strict=True) if not o], _WORDS.findall, _GAP))
-        return [self._slow(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        # a byte that odd characters have: U+0180 and beyond, U+0130, controls, or a less-than sign
+        some = ((data >= 0xC6) | (data == 0xC4) | (data - np.uint8(0x1C) < 4) | (data == ord("<"))).any()
+        out: list[bytes | None] = [self._slow(t) if some and _ODD.search(t) else None for t in texts]
+        most = min(words.PART, BLOCK)
+        group: list[int] = []
+        size = 0
+        for k, t in enumerate(texts):
+            if out[k] is not None:
+                continue
+            if len(t) > most:
+                out[k] = b"".join(self._block([p])[0] for p in words.parts(t, _GAP, most))
+                continue
+            if size + len(t) > most:
+                for i, ids in zip(group, self._block([texts[i] for i in group]), strict=True):
+                    out[i] = ids
+                group, size = [], 0
+            group.append(k)
+            size += len(t)
+        if group:
+            for i, ids in zip(group, self._block([texts[i] for i in group]), strict=True):
+                out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=1)

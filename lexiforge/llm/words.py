@@ -32,17 +32,30 @@ class WordMemory:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def of(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words, one after another."""
-        new = set().union(*texts).difference(self.known)
-        kept = new.intersection(self.older)
+    def _know(self, words: set) -> None:
+        new = words.difference(self.known)
+        kept = {w for w in new if w in self.older}
         self.known.update((w, self.older[w]) for w in kept)
         self.known.update(self.learn(list(new - kept)))
-        self.size += sum(len(w) + len(self.known[w]) for w in new) + 150 * len(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in texts]
+        self.size += sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new))) + 150 * len(new)
+
+    def _forget(self) -> None:
         if 2 * self.size > self.most:
             self.older, self.known, self.size = self.known, {}, 0
+
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words, one after another."""
+        self._know(set().union(*texts))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in texts]
+        self._forget()
+        return out
+
+    def each(self, words: list) -> list[bytes]:
+        """The ids of each word."""
+        self._know(set(words))
+        out = list(map(self.known.__getitem__, words))
+        self._forget()
         return out
 
     def encode(self, texts: list[str], split: Callable[[str], list[str]], gap: re.Pattern) -> list[bytes]:

@@ -345,6 +345,30 @@ def test_word_memory():
     assert packing.Encoder(BPE).encode([long])[0] == np.array(t.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_of_the_table():
+    """Ids of texts with every kind of word, where words share slots of the table and its pool begins anew."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(BPE), random.Random(5)
+    symbols = "abstrvemld''' .,\n\t12é²½ßÉÀŸſŉ\xa0\x85\x00-AZ"
+    texts = ["".join(rng.choice(symbols) for _ in range(rng.randint(0, 120))) for _ in range(1500)]
+    texts += ["", "'", "'s", "it's 'll'rest''s .'s", "x" * 5000 + " y", "Ω ſ", "<|endoftext|> a", " ".join("abcdefghijklmnopqrstuv"[: rng.randint(1, 22)] for _ in range(900))]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    sizes = packing.BLOCK, packing.SLOTS, packing.POOL
+    try:
+        for packing.BLOCK, packing.SLOTS, packing.POOL in (sizes, (3000, 16, 64)):
+            coder = packing.Encoder(BPE, most=50_000)
+            assert coder.encode(texts) == want == coder.encode(texts)
+    finally:
+        packing.BLOCK, packing.SLOTS, packing.POOL = sizes
+    coder, asked = packing.Encoder(BPE), []
+    each = coder.memory.each
+    coder.memory.each = lambda new: asked.append(len(new)) or each(new)
+    many = ["der hund und die katze " * 4000] * 3
+    assert len(set(coder.encode(many))) == 1 and coder.encode(many[:1]) == coder.encode(many)[:1]
+    assert sum(asked) == 5  # of each word one is looked up in the dictionary, once
+
+
 def test_pieces(spark):
     import sentencepiece
 
