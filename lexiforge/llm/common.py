@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.sources.spool import free, partitions, spool, table, written  # noqa: F401  for the operators
@@ -12,6 +12,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of a batch of rows on its way to a Python worker or back; Spark's own bound is 64 MB, in the JVM and in the worker at once.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Rows go to Python workers in batches of about so many bytes from now on, if the session does not ask for smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name, None)
+    if not had or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(had) > most:
+        spark.conf.set(name, str(most))
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores in front until no column is called so (Spark does not tell case)."""
     taken, out = {c.lower() for c in columns}, []

@@ -369,6 +369,28 @@ def test_words_of_the_table():
     assert sum(asked) == 5  # of each word one is looked up in the dictionary, once
 
 
+def test_small_batches(spark, sf_dir):
+    """The pipeline's stages send no more than a few megabytes of rows to a Python worker at once."""
+    import corpus_pipeline as p
+    import pyarrow as pa
+    from lexiforge.llm.common import BATCH
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(4000).selectExpr("id", "repeat('abcdefghij', 400) AS text").coalesce(1)
+    sizes = lambda it: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"]) for x in it)
+    try:
+        for k in (0, 3, 4):
+            spark.conf.unset(name)
+            assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) > 2 * BATCH
+            p.STAGES[k][1](spark, frame(spark), sf_dir)
+            assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 1.1 * BATCH
+        spark.conf.set(name, "64k")
+        p.STAGES[0][1](spark, frame(spark), sf_dir)
+        assert spark.conf.get(name) == "64k"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_pieces(spark):
     import sentencepiece
 
