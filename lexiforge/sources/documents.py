@@ -70,10 +70,10 @@ def read_paradigms(pages: DataFrame) -> DataFrame:
 
 
 def html_text(html: Column) -> Column:
-    """The text of HTML pages by a real parser."""
+    """The text of HTML pages by a real parser; a reference without its semicolon is text, as in plain_text."""
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(dom.page_text, na_action="ignore")
+        return x.map(lambda page: dom.page_text(page, closed=True), na_action="ignore")
 
     return run(html)
 
