@@ -37,6 +37,8 @@ def _compositions() -> tuple[str, str]:
 
 
 PAIRS, COMPOSED = _compositions()
+#: Letters and digits one by one: Java looks up a class of single characters in a table, and asks each range of one in turn.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: What counts as white space at the ends of a word.
 SPACES = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
@@ -67,8 +69,8 @@ def fold_key(x: Column) -> Column:
 
 def sense_key(x: Column) -> Column:
     """Letters and digits of a folded sense, single-spaced: what makes two senses the same."""
-    kept = F.regexp_replace(F.lower(strip_marks(x)), "[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+    kept = F.regexp_replace(F.lower(strip_marks(x)), f"[^{LOWER}{DIGITS} ]+", " ")
+    return F.trim(F.regexp_replace(kept, "  +", " "))
 
 
 def det_id(*parts: Column) -> Column:
@@ -128,7 +130,7 @@ def error_kind(message: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of an HTML string: scripts, styles and tags out, entities in, blanks single."""
     x = F.regexp_replace(html, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", " ")
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(x, "(?s)<!--.*?-->|<[^>]*>", " ")), "[\\s ]+", " "))
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(x, "(?s)<!--.*?-->|<[^>]*>", " ")), "[ \\t\\n\\x0B\\f\\r ]+", " "))
 
 
 def decode_entities(x: Column) -> Column:

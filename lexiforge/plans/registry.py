@@ -621,7 +621,7 @@ SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_senses FROM l WHERE len(lines) >
 def parse_wiki(spark: SparkSession, d: str) -> DataFrame:
     """Wiki pages made from documents: each line is a sense."""
     n = F.col("doc_id").cast("string")
-    lines = F.transform(F.split(F.regexp_replace("text", "[^A-Za-z0-9 \\n]", ""), "\n", -1), lambda x: F.concat(F.lit("# "), x))
+    lines = F.transform(F.split(F.regexp_replace("text", f"[^{tx.UPPER}{tx.LOWER}{tx.DIGITS} \\n]+", ""), "\n", -1), lambda x: F.concat(F.lit("# "), x))
     wiki = F.concat(F.lit("== {{limba|ron}} ==\n{{-substantiv-|ron}}\n"), F.array_join(lines, "\n"))
     body = F.to_json(F.struct(F.struct(n.alias("title"), wiki.alias("wikitext")).alias("parse")))
     raw = table(spark, d, "documents").select(F.lit("wiktionary").alias("provider"), n.alias("word"), body.alias("body"))

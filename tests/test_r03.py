@@ -2,10 +2,9 @@
 
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.functions import dom, markup
+from lexiforge.functions import markup
 from lexiforge.sources import documents
 
 
@@ -13,3 +12,13 @@ def test_a_reference_without_its_semicolon_is_text(spark):
     rows = [("<p>a&amp</p><p>b&amp;c&amp;lt &copy 2&nbsp;x &#39;</p><style>&amp</style>",), (None,), ("&ampx; &nosuch; & &",)]
     got = spark.createDataFrame(rows, "html string").coalesce(1).select(documents.html_text(F.col("html"))).collect()
     assert [r[0] for r in got] == ["a&ampb&c&lt &copy 2 x '", None, "&ampx; &nosuch; & &"]
+
+
+def test_labels_are_searched_only_where_their_letters_stand():
+    assert markup.read_register("(pop. și fig.) rar x") == ["figurat", "popular", "rar"]
+    assert markup.read_grammar("s. f. pl.")[:2] == ("substantiv", "feminin") and markup.read_grammar("xart artx")[0] == "unknown"
+    text = "lorem ipsum dolor sit amet " * 8
+    began = time.process_time()
+    for _ in range(1000):
+        markup.read_grammar(text)
+    assert time.process_time() - began < 0.5
