@@ -25,7 +25,7 @@ def _raw(spark: SparkSession, d: str, provider: str, body: Column) -> DataFrame:
 
 def _lines() -> Column:
     """The lines of a text with nothing but letters, digits and blanks, without empty ones."""
-    plain = F.split(F.regexp_replace("text", "[^A-Za-z0-9 \\n]", ""), "\n", -1)
+    plain = F.split(F.regexp_replace("text", f"[^{tx.UPPER}{tx.LOWER}{tx.DIGITS} \\n]+", ""), "\n", -1)
     return F.filter(plain, lambda x: F.trim(x) != "")
 
 
