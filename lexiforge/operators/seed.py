@@ -13,7 +13,7 @@ from lexiforge.operators.rank import place_in_groups
 #: Sigils of the dump's markup and escapes, taken off in this order.
 MARKUP = (
     ("@([^@\\n]+)@", "$1"), ("\\$([^$\\n]+)\\$", "$1"), ("#([^#\\n]+)#", "$1"), ("%([^%\\n]+)%", "$1"), ("\\*\\*([^*\\n]+)\\*\\*", "$1"), ("\\^([^\\^\\n]+)\\^", "$1"),
-    ("\\\\[A-Za-z]+", " "), ("[@$#%^*~]+(?=\\s|$)", " "), ("(?<=\\s)[@$#%^*~]+", " "), ("[@$#%^~]", ""), ("'(?=[A-ZĂÂÎȘȚ])", ""),
+    ("\\\\[A-Za-z]+", " "), ("[@$#%^*~]+(?=\\s|$)", " "), ("[@$#%^*~](?<=\\s[@$#%^*~])[@$#%^*~]*", " "), ("[@$#%^~]", ""), ("'(?=[A-ZĂÂÎȘȚ])", ""),
 )
 
 # The frequent words that the "lite" import keeps.
