@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lexiforge.functions import markup
+from lexiforge.operators import adapt
 from lexiforge.sources import documents
 
 
@@ -22,3 +23,23 @@ def test_labels_are_searched_only_where_their_letters_stand():
     for _ in range(1000):
         markup.read_grammar(text)
     assert time.process_time() - began < 0.5
+
+
+def _nodes(n):
+    """n top senses with an example below each, in pre-order."""
+    rel = "struct(array('y') as synonyms, cast(array() as array<string>) as antonyms, cast(array() as array<string>) as diminutives, cast(array() as array<string>) as augmentatives, cast(array() as array<string>) as hypernyms)"
+    none = "cast(array() as array<string>) as register, cast(null as string) as domain, cast(null as string) as citation, cast(array() as array<string>) as sources"
+    top = f"struct(cast(2 * i as int) as node_id, cast(null as int) as parent_id, 0 as depth, cast(i + 1 as int) as number, concat('s', i) as text, 'meaning' as type, {none}, {rel} as relations)"
+    low = f"struct(cast(2 * i + 1 as int) as node_id, cast(2 * i as int) as parent_id, 1 as depth, cast(null as int) as number, concat('e', i) as text, 'example' as type, {none}, {rel} as relations)"
+    return F.expr(f"flatten(transform(sequence(0, {n - 1}), i -> array({top}, {low})))")
+
+
+def test_long_trees_are_enriched_and_flattened_in_time(spark):
+    one = spark.range(1).select(_nodes(400).alias("tree")).withColumn("senses", F.filter("tree", lambda x: x["depth"] == 0))
+    nodes = F.transform("senses", lambda x, i: x.withField("node_id", i))
+    one = one.withColumn("senses", nodes).localCheckpoint()
+    began = time.time()
+    out = one.select(adapt._enriched(F.col("senses"), F.col("tree")).alias("x"), adapt.flatten_senses(F.col("tree")).alias("f")).collect()[0]
+    assert time.time() - began < 40
+    assert [(n["node_id"], n["parent_id"], n["text"]) for n in out["x"]] == [r for i in range(400) for r in ((2 * i, None, f"s{i}"), (2 * i + 1, 2 * i, f"e{i}"))]
+    assert [(s["number"], s["text"], [e["text"] for e in s["examples"]]) for s in out["f"]] == [(i + 1, f"s{i}", [f"e{i}"]) for i in range(400)]
