@@ -35,11 +35,11 @@ def _nodes(n):
 
 
 def test_long_trees_are_enriched_and_flattened_in_time(spark):
-    one = spark.range(1).select(_nodes(400).alias("tree")).withColumn("senses", F.filter("tree", lambda x: x["depth"] == 0))
+    one = spark.range(1).select(_nodes(800).alias("tree")).withColumn("senses", F.filter("tree", lambda x: x["depth"] == 0))
     nodes = F.transform("senses", lambda x, i: x.withField("node_id", i))
     one = one.withColumn("senses", nodes).localCheckpoint()
     began = time.time()
     out = one.select(adapt._enriched(F.col("senses"), F.col("tree")).alias("x"), adapt.flatten_senses(F.col("tree")).alias("f")).collect()[0]
     assert time.time() - began < 40
-    assert [(n["node_id"], n["parent_id"], n["text"]) for n in out["x"]] == [r for i in range(400) for r in ((2 * i, None, f"s{i}"), (2 * i + 1, 2 * i, f"e{i}"))]
-    assert [(s["number"], s["text"], [e["text"] for e in s["examples"]]) for s in out["f"]] == [(i + 1, f"s{i}", [f"e{i}"]) for i in range(400)]
+    assert [(n["node_id"], n["parent_id"], n["text"]) for n in out["x"]] == [r for i in range(800) for r in ((2 * i, None, f"s{i}"), (2 * i + 1, 2 * i, f"e{i}"))]
+    assert [(s["number"], s["text"], [e["text"] for e in s["examples"]]) for s in out["f"]] == [(i + 1, f"s{i}", [f"e{i}"]) for i in range(800)]
