@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lexiforge.functions import markup
+from lexiforge.functions import dom, markup
 from lexiforge.operators import adapt
 from lexiforge.sources import documents
 
@@ -43,3 +43,14 @@ def test_long_trees_are_enriched_and_flattened_in_time(spark):
     assert time.time() - began < 40
     assert [(n["node_id"], n["parent_id"], n["text"]) for n in out["x"]] == [r for i in range(800) for r in ((2 * i, None, f"s{i}"), (2 * i + 1, 2 * i, f"e{i}"))]
     assert [(s["number"], s["text"], [e["text"] for e in s["examples"]]) for s in out["f"]] == [(i + 1, f"s{i}", [f"e{i}"]) for i in range(800)]
+
+
+def test_plain_pages_get_the_tree_of_the_standard_parser():
+    flat = lambda n: (n.tag, n.attrs, n.classes, [c if isinstance(c, str) else flat(c) for c in n.children])
+    for html in ("<ul><li class='a b'>x &amp y<li>z</ul><br>t<p/><P>u<p>v</p ></q>&lt;", "<td a><th b=\"1\" b='2'>x</td></div>"):
+        b = dom._Builder()
+        b.feed(html)
+        b.close()
+        assert flat(dom._plain(html)) == flat(b.root)
+    for odd in ("<a title='x>y'>", "a < b", "<!-- c -->", "<script>a</script>", "<a b=c>", "</>"):
+        assert dom._plain(odd) is None
